@@ -81,8 +81,8 @@ class FingerprintIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Add a batch (doc_id, text) of larger doc_ids than any before; returns fp of the anchors it shares."""
         rows = anchor_rows(docs, self.width).groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        # Dealt by bucket before it is written, so that each bucket is one file.
-        name = self._write(rows.repartition(self.buckets, "fp"))
+        # The aggregation already deals rows by fp into as many partitions as buckets: one file each.
+        name = self._write(rows)
         run = self.spark.table(name)
         shared = run.filter("first < last").select("fp")
         for old in self.runs:
@@ -99,7 +99,7 @@ class FingerprintIndex:
         for name in self.runs[1:]:
             merged = merged.unionByName(self.spark.table(name))
         merged = merged.groupBy("fp").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        name, old = self._write(merged.repartition(self.buckets, "fp")), self.runs
+        name, old = self._write(merged), self.runs
         self.runs = [name]
         self._forget(old)
 
@@ -206,8 +206,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             batch = batch.filter(F.col("doc_id") <= int(hi))
         found = index.add(batch)
         shared = found if shared is None else shared.unionByName(found)
+    index.close()  # a batch job; a store that goes on keeps its runs
     starts = repeated_windows(known, shared, width)
-    index.close()
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
     none = F.lit(None).cast("array<int>").alias("starts")
     if starts.count() > BROADCAST_ROWS:
