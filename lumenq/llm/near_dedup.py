@@ -5,7 +5,9 @@
    goes on as one representative.
 2. The first ``POSTED`` coordinates of each class are posted as (coordinate, value).
    Values of one class only are dropped; a class left with fewer than ``LEAST`` postings
-   can't reach the match threshold and is skipped, before any pair is made.
+   can't collide often enough and is skipped, before any pair is made.  Of m postings
+   left, the m - LEAST + 1 on the shortest lists are the prefix: classes that collide
+   LEAST times meet in their prefixes, so longer lists are never read.
 3. Pairs come from the postings.  First every posting list is joined to one or two of
    its members only (a star), the pairs are verified on full sets and merged into components;
    lists whose members are by then all in one component are skipped.  What is left, the
@@ -36,7 +38,7 @@ from lumenq.llm._text import mix, shingle_set
 
 WIDTH, PERCENT = 5, 75
 COORDS, MATCHES = 256, 149
-POSTED, LEAST = 20, 2
+POSTED, LEAST = 64, 26
 _RNG = np.random.default_rng(977)
 _MUL = (_RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)[:, None]
@@ -108,10 +110,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(old)
 
 
-def _common(a: str, b: str):
-    return F.array_intersect(a, b)
-
-
 def _matches(a: str, b: str):
     """In how many of the 16-bit values, packed by four, two signatures agree."""
     same = lambda x, k: (F.shiftright(x, 16 * k).bitwiseAND(F.lit(0xFFFF)) == 0).cast("int")
@@ -139,8 +137,9 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     # A representative posts once, whatever the number of its copies.
     reps = known.select("doc_id", "n", "c1", "c2", "posts", "sig").join(classes, ["c1", "c2"]).filter("doc_id = rep").select(F.col("rep").alias("id"), "n", "posts", "sig")
     posted = reps.select("id", F.explode("posts").alias("p"))
-    often = posted.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("p")
-    kept = scratch.save(posted.join(scratch.save(often, "often"), "p").groupBy("id").agg(F.sort_array(F.collect_set("p")).alias("ps")).filter(F.size("ps") >= LEAST), "postings")
+    often = posted.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("df")).filter("lo < hi").select("p", "df")
+    kept = posted.join(scratch.save(often, "often"), "p").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "p"))).alias("all")).filter(F.size("all") >= LEAST)
+    kept = scratch.save(kept.select("id", F.slice("all", F.lit(1), F.size("all") - LEAST + 1)["p"].alias("ps")), "postings")
     n_kept = kept.count()
     members = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
     links = None
@@ -175,8 +174,7 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
                 & (F.col("id1") < F.col("id2"))
                 & (F.col("comp1") != F.col("comp2"))
                 & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-                & (F.array_min(_common("ps1", "ps2")) == left["p"])
-                & (F.size(_common("ps1", "ps2")) >= LEAST)
+                & (F.array_min(F.array_intersect("ps1", "ps2")) == left["p"])
                 & (_matches("sig1", "sig2") >= MATCHES)
             )
             rest = left.join(right.hint("merge"), cond).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
