@@ -40,7 +40,7 @@ MEMO = 400_000
 END_ID = 2
 MAGIC = b"LQT1"
 #: Letters for which lower-casing and composing are plain, by character.
-_LETTERS = re.compile("[A-Za-z\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u00ff]+")
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _MARKS = ".,;:!?"
 
 
@@ -147,7 +147,7 @@ def _encode(path: str, bounds: list[int]):
             part = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, ids.fill_null(0).to_numpy(), side="left"))
             packed = [np.frombuffer(b, "<u4") for b in bodies]
             # Two bytes an id where that holds them; the first byte says which.
-            packed = [b"\\x02" + p.astype("<u2").tobytes() if p.max() < 65536 else b"\\x04" + p.tobytes() for p in packed]
+            packed = [b"\x02" + p.astype("<u2").tobytes() if p.max() < 65536 else b"\x04" + p.tobytes() for p in packed]
             columns = [pa.array(part, pa.int32()), ids, pa.array([zlib.crc32(b) for b in bodies], pa.int64()), pa.array(packed, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "crc", "ids"])
 
