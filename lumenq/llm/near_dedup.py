@@ -13,6 +13,8 @@
    lists whose members are by then all in one component are skipped.  What is left, the
    members of different components, is joined in full: a pair is made at the first
    coordinate that both share, and kept if its signatures agree in ``MATCHES`` places.
+   Before that comes an exact bound: each set also has ``BITS`` bits, the parities of its
+   shingles' counts by bucket; sets differ in at least as many shingles as bits.
 4. Every link is confirmed on the full sets: 100 * intersection >= 75 * union.
 
 A group of thousands of near copies thus costs a few pairs a copy.  With 256
@@ -39,6 +41,7 @@ from lumenq.llm._text import mix, shingle_set
 WIDTH, PERCENT = 5, 75
 COORDS, MATCHES = 256, 149
 POSTED, LEAST = 64, 26
+BITS = 2048
 _RNG = np.random.default_rng(977)
 _MUL = (_RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)[:, None]
@@ -61,9 +64,15 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``BITS`` buckets, whether an odd number of the shingles falls into it; packed."""
+    bucket = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(BITS)).astype(np.int64)
+    return np.packbits((np.bincount(bucket, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, c1, c2, posts, packed = [], [], [], [], []
+        n, c1, c2, posts, packed, odd = [], [], [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, WIDTH)
             n.append(len(s))
@@ -75,11 +84,13 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 coord = np.arange(POSTED, dtype=np.uint64)
                 posts.append(mix(sig[:POSTED] + coord * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
                 packed.append(sig.astype(np.uint16).view(np.int64))
+                odd.append(parities(s))
             else:
                 posts.append(None)
                 packed.append(None)
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (posts, packed)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *lists], ["doc_id", "n", "c1", "c2", "posts", "sig"])
+                odd.append(None)
+        lists = [pa.array(x, pa.list_(pa.int64())) for x in (posts, packed, odd)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *lists], ["doc_id", "n", "c1", "c2", "posts", "sig", "odd"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +128,12 @@ def _matches(a: str, b: str):
     return F.aggregate(each, F.lit(0), lambda n, x: n + same(x, 0) + same(x, 1) + same(x, 2) + same(x, 3))
 
 
+def _near_enough(n1: str, n2: str, odd1: str, odd2: str, percent: int):
+    """False only for sets whose sizes, or parities of bits, rule the similarity out."""
+    bits = sum((F.bit_count(F.get(odd1, F.lit(i)).bitwiseXOR(F.get(odd2, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (bits * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent))
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
@@ -131,7 +148,7 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     """doc_id, n_shingles, component_id and kept of every row."""
     scratch = Scratch(df.sparkSession, "near")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n long, c1 long, c2 long, posts array<long>, sig array<long>"), "signatures")
+    signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n long, c1 long, c2 long, posts array<long>, sig array<long>, odd array<long>"), "signatures")
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = scratch.save(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     # A representative posts once, whatever the number of its copies.
@@ -148,7 +165,7 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         ids = kept.select(F.col("id").alias("doc_id"))
         chosen = docs.join(F.broadcast(ids) if n_kept <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
         sets = scratch.save(chosen.mapInArrow(_sets, "id long, set array<long>"), "sets")
-        sigs = signed.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "sig")
+        sigs = signed.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "sig", "odd")
         info = scratch.save(kept.join(sigs, "id").dropDuplicates(["id", "n"]), "candidates")
         # The star: each list's smallest member, and one picked by the list's own hash.
         lists = info.select("id", "n", F.explode("ps").alias("p"))
@@ -165,15 +182,15 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         mixed = open_.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("p")
         mixed = scratch.save(mixed, "mixed")
         if not mixed.isEmpty():
-            full = info.join(comp, "id").select("id", "n", "comp", "ps", "sig", F.explode("ps").alias("p")).join(mixed, "p")
+            full = info.join(comp, "id").select("id", "n", "comp", "ps", "sig", "odd", F.explode("ps").alias("p")).join(mixed, "p")
             full = scratch.save(full, "open")
-            left = full.select("p", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "ps", "sig")])
-            right = full.select("p", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "ps", "sig")])
+            left = full.select("p", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "ps", "sig", "odd")])
+            right = full.select("p", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "ps", "sig", "odd")])
             cond = (
                 (left["p"] == right["p"])
                 & (F.col("id1") < F.col("id2"))
                 & (F.col("comp1") != F.col("comp2"))
-                & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+                & _near_enough("n1", "n2", "odd1", "odd2", percent)
                 & (F.array_min(F.array_intersect("ps1", "ps2")) == left["p"])
                 & (_matches("sig1", "sig2") >= MATCHES)
             )
@@ -196,9 +213,9 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
 
 def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes and signatures allow the similarity."""
-    left = info.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("sig1"))
-    right = info.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
-    both = pairs.join(left, "a").join(right, "b").filter(F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
+    left = info.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("sig1"), F.col("odd").alias("odd1"))
+    right = info.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("odd").alias("odd2"))
+    both = pairs.join(left, "a").join(right, "b").filter(_near_enough("n1", "n2", "odd1", "odd2", percent))
     return both.filter(_matches("sig1", "sig2") >= MATCHES).select("a", "b").distinct()
 
 

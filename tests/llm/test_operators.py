@@ -100,6 +100,16 @@ def brute_components(rows):
     return comp
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 300, 9000):
+        a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**64, n // 3, dtype=np.uint64)]))
+        bits = sum(int(x).bit_count() for x in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+    assert (near_dedup.parities(a) == near_dedup.parities(a[::-1])).all()
+
+
 def test_near_dups_against_all_pairs(docs, empty, spark):
     rng = random.Random(5)
     base = [[rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(rng.choice([6, 20, 90]))] for _ in range(12)]
