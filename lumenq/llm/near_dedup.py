@@ -182,7 +182,9 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         mixed = open_.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("p")
         mixed = scratch.save(mixed, "mixed")
         if not mixed.isEmpty():
-            full = info.join(comp, "id").select("id", "n", "comp", "ps", "sig", "odd", F.explode("ps").alias("p")).join(mixed, "p")
+            # Postings are chosen as pairs of longs; signatures join only those that stay.
+            chosen = scratch.save(lists.select("p", "id").join(mixed, "p").distinct(), "chosen")
+            full = chosen.join(info.join(comp, "id"), "id").select("id", "n", "comp", "ps", "sig", "odd", "p")
             full = scratch.save(full, "open")
             left = full.select("p", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "ps", "sig", "odd")])
             right = full.select("p", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "ps", "sig", "odd")])
