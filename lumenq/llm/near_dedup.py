@@ -159,7 +159,7 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     kept = scratch.save(kept.select("id", F.slice("all", F.lit(1), F.size("all") - LEAST + 1)["p"].alias("ps")), "postings")
     n_kept = kept.count()
     members = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
-    links = None
+    first = more = None
     if n_kept:
         # Full sets are made for classes that share postings only; their texts are picked where they lie.
         ids = kept.select(F.col("id").alias("doc_id"))
@@ -176,7 +176,7 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         star = _likely(scratch.save(star, "star"), info, percent)
         links = _verify(scratch.save(star, "pairs"), sets, scratch, percent)
         comp = components(links, scratch)
-        comp = scratch.save(info.select("id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
+        first = comp = scratch.save(info.select("id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
         # Lists that hold several components are joined in full.
         open_ = lists.select("p", "id").join(comp, "id")
         mixed = open_.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("p")
@@ -198,16 +198,24 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
             )
             rest = left.join(right.hint("merge"), cond).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
             more = _verify(scratch.save(rest, "rest"), sets, scratch, percent)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-    if links is None:
-        comp = classes.select(F.col("rep").alias("node"), F.col("rep").alias("comp")).limit(0)
-    else:
-        # A doc_id with several texts stands for several classes and ties them together.
-        ties = members.filter("rep <> doc_id").select("doc_id", "rep")
-        several = ties.join(members.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi")
-        comp = components(links.unionByName(several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), scratch)
-    comp = comp.select(F.col("node").alias("rep"), "comp")
+    # A doc_id with several texts stands for several classes and ties them together.
+    ties = members.filter("rep <> doc_id").select("doc_id", "rep")
+    several = ties.join(members.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi")
+    late = several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    late = scratch.save(late if more is None else late.unionByName(more), "late")
+    if first is None:
+        first = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).limit(0)
+    if not late.isEmpty():
+        # Only components are merged now: the late links' ends give way to their components.
+        for end in ("a", "b"):
+            known_as = first.select(F.col("id").alias(end), F.col("comp").alias("_comp"))
+            late = late.join(known_as, end, "left").withColumn(end, F.coalesce("_comp", end)).drop("_comp")
+        merged = components(late.select("a", "b").filter("a <> b"), scratch).withColumnRenamed("comp", "best")
+        old = first.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("best", "comp").alias("comp"))
+        # Classes that have late links only.
+        new = merged.join(first.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.col("best").alias("comp"))
+        first = old.unionByName(new)
+    comp = first.select(F.col("id").alias("rep"), "comp")
     out = members.join(comp, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
     none = signed.filter(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
