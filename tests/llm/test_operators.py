@@ -279,5 +279,5 @@ def test_segment_planes():
 def test_near_dups_ties_the_texts_of_one_id_without_candidates(spark):
     """Rows of one doc_id tie the classes of their texts, also where no two texts are near."""
     rows = [(3, "a b c d e f g"), (5, "a b c d e f g"), (5, "h i j k l m n"), (7, "h i j k l m n"), (9, None)]
-    got = near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = near_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 9)]
