@@ -1,52 +1,70 @@
 """MinHash near-dedup as an inverted join of signature coordinates.
 
-1. Each document becomes the set of hashes of its 5-word shingles and a MinHash
-   signature of ``COORDS`` coordinates.  Documents with equal sets form a class, which
-   goes on as one representative.
-2. The first ``POSTED`` coordinates of each class are posted as (coordinate, value).
-   Values of one class only are dropped; a class left with fewer than ``LEAST`` postings
+1. Each row becomes the set of hashes of its 5-word shingles and a MinHash signature of
+   ``COORDS`` coordinates.  Rows with equal sets form a class, a node from here on.
+2. The first ``POSTED`` coordinates of each node are posted as (coordinate, value).
+   Values of one node only are dropped; a node left with fewer than ``least`` postings
    can't collide often enough and is skipped, before any pair is made.  Of m postings
-   left, the m - LEAST + 1 on the shortest lists are the prefix: classes that collide
-   LEAST times meet in their prefixes, so longer lists are never read.
-3. Pairs come from the postings.  First every posting list is joined to one or two of
-   its members only (a star), the pairs are verified on full sets and merged into components;
-   lists whose members are by then all in one component are skipped.  What is left, the
-   members of different components, is joined in full: a pair is made at the first
-   coordinate that both share, and kept if its signatures agree in ``MATCHES`` places.
-   Before that comes an exact bound: each set also has ``BITS`` bits, the parities of its
-   shingles' counts by bucket; sets differ in at least as many shingles as bits.
-4. Every link is confirmed on the full sets: 100 * intersection >= 75 * union.
-
-A group of thousands of near copies thus costs a few pairs a copy.  With 256
-coordinates and similarity 0.75 the bounds on matches lose a link with a probability
-below 1e-8; no list, group or candidate is capped.
+   left, the m - least + 1 on the shortest lists are the prefix: nodes that collide
+   ``least`` times meet in their prefixes, so longer lists are never read.
+3. Stars: every posting list has two heads, its least member and one picked by hash.  A
+   node's collisions with heads are counted over its lists and it is paired with the
+   ``STAR`` heads that it meets most often.  Pairs are narrow: two longs.  Signatures, then
+   full sets join only those pairs; links merge nodes into components, and lists whose
+   members are by then all in one component are skipped.
+4. What is left are members of different components in one list.  They are not paired by
+   these lists, which may be long where many texts share a passage, but posted once more
+   under the shingles of their full sets, with the same prefix rule, which is exact there
+   and much shorter: only the rarest shingles post, those of one node alone not at all.
+   Lists of one component are skipped again; in the others a pair is made unless places in
+   the prefix, sizes or ``BITS`` parity bits (sets differ in at least as many shingles as
+   bits) rule it out.
+   Signatures and sets follow as in step 3.
+5. Every link is confirmed on the full sets: 100 * intersection >= percent * union.
+
+``least`` and the signatures' match threshold come from ``percent``: a pair at just that
+similarity is lost with a probability of at most ``LOSS`` by either.  No list, group or
+candidate is capped.
 
 Defined results: a document without words has no shingles, no links and is kept; a
 null doc_id links with nothing, has no component and is kept; rows with equal doc_id are
-one node with all their texts.
+tied together with all their texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm._store import BROADCAST_ROWS, Scratch
+from lumenq.llm._store import Scratch, small
 from lumenq.llm._text import mix, shingle_set
 
 WIDTH, PERCENT = 5, 75
-COORDS, MATCHES = 256, 149
-POSTED, LEAST = 64, 26
+COORDS, POSTED = 128, 64
+STAR = 4
 BITS = 2048
+LOSS = 1e-8
+ROWS = 256  # rows that a Python worker holds in its own form at a time
 _RNG = np.random.default_rng(977)
 _MUL = (_RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
 _ADD = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)[:, None]
 
 
+def fewest(coords: int, percent: int) -> int:
+    """The matches of ``coords`` coordinates that a pair at ``percent`` falls short of with a probability of ``LOSS`` at most."""
+    p, below = percent / 100, 0.0
+    for k in range(coords + 1):
+        below += math.comb(coords, k) * p**k * (1 - p) ** (coords - k)
+        if below > LOSS:
+            return k
+    return coords
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The shingle (its 64-bit hash) that comes first under each coordinate's 32-bit order."""
     best = np.full(COORDS, 2**32 - 1, np.uint32)
@@ -70,33 +88,41 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(bucket, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, c1, c2, posts, packed, odd = [], [], [], [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingle_set(text, WIDTH)
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
+def _print(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of hash of a set of shingles."""
+    h = np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
+    return int(h[0]), int(h[1])
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    coord = np.arange(POSTED, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for batch in _pieces(batches):
+        n, prints, posts, packed, odd = [], [], [], [], []
+        for text in batch.column(1):
+            s = shingle_set(text.as_py(), WIDTH)
             n.append(len(s))
-            h = np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).view(np.int64)
-            c1.append(int(h[0]))
-            c2.append(int(h[1]))
-            if len(s):
-                sig = signature(s)
-                coord = np.arange(POSTED, dtype=np.uint64)
-                posts.append(mix(sig[:POSTED] + coord * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
-                packed.append(sig.astype(np.uint16).view(np.int64))
-                odd.append(parities(s))
-            else:
-                posts.append(None)
-                packed.append(None)
-                odd.append(None)
+            prints.append(_print(s))
+            sig = signature(s) if len(s) else None
+            posts.append(None if sig is None else mix(sig[:POSTED] + coord).view(np.int64))
+            packed.append(None if sig is None else sig.astype(np.uint16).view(np.int64))
+            odd.append(None if sig is None else parities(s))
         lists = [pa.array(x, pa.list_(pa.int64())) for x in (posts, packed, odd)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), *lists], ["doc_id", "n", "c1", "c2", "posts", "sig", "odd"])
+        c1, c2 = (pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), c1, c2, *lists], ["doc_id", "n", "c1", "c2", "posts", "sig", "odd"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(t, WIDTH).view(np.int64) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+    for batch in _pieces(batches):
+        sets = [shingle_set(t.as_py(), WIDTH) for t in batch.column(0)]
+        prints = [_print(s) for s in sets]
+        c1, c2 = (pa.array([p[k] for p in prints], pa.int64()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([c1, c2, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["c1", "c2", "set"])
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -106,19 +132,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     writes one table, and rounds go on until one changes nothing.
     """
     both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("comp")), "labels")
+    table = scratch.save(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("new")), "labels")
     while True:
+        labels = table.select("node", F.col("new").alias("comp"))
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("near"))
         near = near.select(F.col("a").alias("node"), "near").join(labels, "node").select("node", "comp", F.least("comp", "near").alias("best"))
         jump = labels.select(F.col("node").alias("best"), F.col("comp").alias("jump"))
         step = near.join(jump, "best", "left").select("node", F.least("best", F.coalesce("jump", "best")).alias("new"), "comp")
         step = scratch.save(step, "labels")
-        changed = not step.filter("new <> comp").isEmpty()
-        old, labels = labels, step.select("node", F.col("new").alias("comp"))
-        if not changed:
-            scratch.drop(both, old)
-            return labels
-        scratch.drop(old)
+        done = step.filter("new <> comp").isEmpty()
+        scratch.drop(table)
+        table = step
+        if done:
+            scratch.drop(both)
+            return table.select("node", F.col("new").alias("comp"))
 
 
 def _matches(a: str, b: str):
@@ -134,101 +161,150 @@ def _near_enough(n1: str, n2: str, odd1: str, odd2: str, percent: int):
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (bits * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent))
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - inter
-    return scratch.save(both.filter(inter * 100 >= union * percent).select("a", "b"), "links")
+def _ends(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b) with the columns of both ends, numbered 1 and 2."""
+    for k, end in ((1, "a"), (2, "b")):
+        pairs = pairs.join(table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{k}") for c in columns]).hint("merge"), end)
+    return pairs
+
+
+def _links(pairs: DataFrame, info: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; signatures are compared first."""
+    pairs = scratch.save(pairs, "pairs")
+    likely = _ends(pairs, info, ["n", "sig", "odd"]).filter(_near_enough("n1", "n2", "odd1", "odd2", percent))
+    likely = scratch.save(likely.filter(_matches("sig1", "sig2") >= fewest(COORDS, percent)).select("a", "b"), "likely")
+    both = _ends(likely, sets, ["set"])
+    inter = F.size(F.array_intersect("set1", "set2"))
+    union = F.size("set1") + F.size("set2") - inter
+    links = scratch.save(both.filter(inter * 100 >= union * percent).select("a", "b"), "links")
+    scratch.drop(pairs, likely)
+    return links
+
+
+def _star(lists: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of each node and the heads that it meets in most of its lists."""
+    heads = lists.groupBy("p").agg(F.min("node").alias("head"), F.min_by("node", F.xxhash64("p", "node")).alias("other"))
+    met = lists.join(scratch.save(heads, "heads"), "p").select("node", F.explode(F.array("head", "other")).alias("h")).filter("node <> h")
+    # A node has at most two heads for each posting, so its group is bounded.
+    most = met.groupBy("node", "h").agg(F.count("*").alias("c")).groupBy("node").agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "h"))).alias("all"))
+    picked = most.select("node", F.explode(F.slice("all", 1, STAR)["h"]).alias("h"))
+    return picked.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+
+
+def _open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows, with comp, of the lists that hold more than one component."""
+    known = lists.join(comp, "node")
+    mixed = known.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("p")
+    return scratch.save(known.join(scratch.save(mixed, "mixed"), "p").select(*lists.columns, "comp"), "open")
+
+
+def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """p, node, n, at, inner: the rarest shingles of the nodes in ``rows``, by their place in the order of rarity.
+
+    Of a similar pair the larger set shares percent of its n shingles, so it has a shared one
+    among its n - percent of n + 1 rarest; the smaller set shares 2 percent / (1 + percent) of
+    its own, which leaves fewer still, the inner ones.  Shingles that one node alone has come
+    first and post nothing.
+    """
+    nodes = rows.select("node").distinct()
+    each = sets.join(nodes, "node").select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
+    shared = each.join(often.hint("merge"), "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("all"))
+    prefix = lambda part, of: F.col("n") - F.ceil(F.col("n") * part / of).cast("int") + 1
+    few = shared.withColumns({"alone": F.col("n") - F.size("all"), "outer": prefix(percent, 100), "inner": prefix(2 * percent, 100 + percent)})
+    few = few.filter("outer > alone").select("node", "n", "alone", "inner", F.posexplode(F.slice("all", F.lit(1), F.col("outer") - F.col("alone"))["s"]).alias("at", "p"))
+    return few.select("p", "node", "n", (F.col("alone") + F.col("at") + 1).alias("at"), (F.col("alone") + F.col("at") < F.col("inner")).alias("inner"))
+
+
+def _rest(rows: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list: inner postings of the smaller set and any of the larger."""
+    full = rows.join(info.select("node", "odd"), "node")
+    side = lambda part, k: part.select("p", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "comp", "at", "odd")])
+    left, right = side(full.filter("inner"), 1), side(full, 2)
+    most = F.least(F.col("n1") - F.col("at1"), F.col("n2") - F.col("at2")) + 1  # shingles that can be shared from here on
+    cond = (
+        (left["p"] == right["p"])
+        & (F.struct("n1", "node1") < F.struct("n2", "node2"))
+        & (F.col("comp1") != F.col("comp2"))
+        & (most * (100 + percent) >= (F.col("n1") + F.col("n2")) * percent)
+        & _near_enough("n1", "n2", "odd1", "odd2", percent)
+    )
+    return left.join(right.hint("merge"), cond).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between the components of their ends."""
+    for end in ("a", "b"):
+        known_as = labels.select(F.col("node").alias(end), F.col("comp").alias("_comp"))
+        edges = edges.join(known_as, end, "left").withColumn(end, F.coalesce("_comp", end)).drop("_comp")
+    return edges.select("a", "b").filter("a <> b")
+
+
+def _merge(labels: DataFrame, late: DataFrame, scratch: Scratch) -> DataFrame:
+    """The components after late links between them."""
+    edges = scratch.save(_relabel(late, labels), "late")
+    if edges.isEmpty():
+        return labels
+    merged = scratch.save(components(edges, scratch).withColumnRenamed("comp", "best"), "merged")
+    old = labels.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("node", F.coalesce("best", "comp").alias("comp"))
+    # Nodes that have late links only.
+    new = merged.join(labels.select("node"), "node", "left_anti").select("node", F.col("best").alias("comp"))
+    return scratch.save(old.unionByName(new), "labels")
 
 
 def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row."""
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    ``percent`` may be any similarity at which a pair is bound to collide: from 25 to 100.
+    """
+    least = fewest(POSTED, percent)
+    if not (least >= 1 and percent <= 100):
+        raise ValueError(f"signatures of {POSTED} postings can't promise links at {percent} percent")
     scratch = Scratch(df.sparkSession, "near")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = scratch.save(docs.mapInArrow(_sign, "doc_id long, n long, c1 long, c2 long, posts array<long>, sig array<long>, odd array<long>"), "signatures")
+    signed = docs.mapInArrow(_sign, "doc_id long, n long, c1 long, c2 long, posts array<long>, sig array<long>, odd array<long>")
+    # Rows are numbered as they are written, so the numbers stay.
+    signed = scratch.save(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = scratch.save(known.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    # A representative posts once, whatever the number of its copies.
-    reps = known.select("doc_id", "n", "c1", "c2", "posts", "sig").join(classes, ["c1", "c2"]).filter("doc_id = rep").select(F.col("rep").alias("id"), "n", "posts", "sig")
-    posted = reps.select("id", F.explode("posts").alias("p"))
-    often = posted.groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("df")).filter("lo < hi").select("p", "df")
-    kept = posted.join(scratch.save(often, "often"), "p").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("df", "p"))).alias("all")).filter(F.size("all") >= LEAST)
-    kept = scratch.save(kept.select("id", F.slice("all", F.lit(1), F.size("all") - LEAST + 1)["p"].alias("ps")), "postings")
+    classes = scratch.save(known.groupBy("c1", "c2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "classes")
+    members = scratch.save(known.select("doc_id", "n", "row", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "n", "row", "node", "rep"), "members")
+    # A class posts once, whatever the number of its copies; only few numbers of copies are broadcast.
+    copies = members.filter("row <> node").select("row")
+    posted = known.select("row", "posts").join(small(copies), "row", "left_anti").select(F.col("row").alias("node"), F.explode("posts").alias("p"))
+    shared = posted.withColumn("df", F.count("*").over(Window.partitionBy("p"))).filter("df > 1")
+    kept = shared.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "p"))).alias("all")).filter(F.size("all") >= least)
+    kept = scratch.save(kept.select("node", F.slice("all", F.lit(1), F.size("all") - least + 1)["p"].alias("ps")), "postings")
     n_kept = kept.count()
-    members = signed.filter(F.col("doc_id").isNotNull()).select("doc_id", "n", "c1", "c2").join(classes, ["c1", "c2"], "left")
-    first = more = None
+    labels = members.select("node", F.col("node").alias("comp")).limit(0)
     if n_kept:
-        # Full sets are made for classes that share postings only; their texts are picked where they lie.
-        ids = kept.select(F.col("id").alias("doc_id"))
-        chosen = docs.join(F.broadcast(ids) if n_kept <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-        sets = scratch.save(chosen.mapInArrow(_sets, "id long, set array<long>"), "sets")
-        sigs = signed.filter("n > 0").select(F.col("doc_id").alias("id"), "n", "sig", "odd")
-        info = scratch.save(kept.join(sigs, "id").dropDuplicates(["id", "n"]), "candidates")
-        # The star: each list's smallest member, and one picked by the list's own hash.
-        lists = info.select("id", "n", F.explode("ps").alias("p"))
-        heads = lists.groupBy("p").agg(F.min("id").alias("head"), F.min_by("id", F.xxhash64("p", "id")).alias("other"))
-        heads = scratch.save(heads, "heads")
-        star = lists.select("p", "id").join(heads, "p")
-        star = star.select("id", F.explode(F.array("head", "other")).alias("h")).filter("id <> h").select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
-        star = _likely(scratch.save(star, "star"), info, percent)
-        links = _verify(scratch.save(star, "pairs"), sets, scratch, percent)
-        comp = components(links, scratch)
-        first = comp = scratch.save(info.select("id").distinct().join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("comp", "id").alias("comp")), "components")
-        # Lists that hold several components are joined in full.
-        open_ = lists.select("p", "id").join(comp, "id")
-        mixed = open_.groupBy("p").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("p")
-        mixed = scratch.save(mixed, "mixed")
-        if not mixed.isEmpty():
-            # Postings are chosen as pairs of longs; signatures join only those that stay.
-            chosen = scratch.save(lists.select("p", "id").join(mixed, "p").distinct(), "chosen")
-            full = chosen.join(info.join(comp, "id"), "id").select("id", "n", "comp", "ps", "sig", "odd", "p")
-            full = scratch.save(full, "open")
-            left = full.select("p", *[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "ps", "sig", "odd")])
-            right = full.select("p", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "comp", "ps", "sig", "odd")])
-            cond = (
-                (left["p"] == right["p"])
-                & (F.col("id1") < F.col("id2"))
-                & (F.col("comp1") != F.col("comp2"))
-                & _near_enough("n1", "n2", "odd1", "odd2", percent)
-                & (F.array_min(F.array_intersect("ps1", "ps2")) == left["p"])
-                & (_matches("sig1", "sig2") >= MATCHES)
-            )
-            rest = left.join(right.hint("merge"), cond).select(F.col("id1").alias("a"), F.col("id2").alias("b"))
-            more = _verify(scratch.save(rest, "rest"), sets, scratch, percent)
-    # A doc_id with several texts stands for several classes and ties them together.
-    ties = members.filter("rep <> doc_id").select("doc_id", "rep")
-    several = ties.join(members.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "doc_id", "left_semi")
-    late = several.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    late = scratch.save(late if more is None else late.unionByName(more), "late")
-    if first is None:
-        first = classes.select(F.col("rep").alias("id"), F.col("rep").alias("comp")).limit(0)
-    if not late.isEmpty():
-        # Only components are merged now: the late links' ends give way to their components.
-        for end in ("a", "b"):
-            known_as = first.select(F.col("id").alias(end), F.col("comp").alias("_comp"))
-            late = late.join(known_as, end, "left").withColumn(end, F.coalesce("_comp", end)).drop("_comp")
-        merged = components(late.select("a", "b").filter("a <> b"), scratch).withColumnRenamed("comp", "best")
-        old = first.join(merged.withColumnRenamed("node", "comp"), "comp", "left").select("id", F.coalesce("best", "comp").alias("comp"))
-        # Classes that have late links only.
-        new = merged.join(first.select(F.col("id").alias("node")), "node", "left_anti").select(F.col("node").alias("id"), F.col("best").alias("comp"))
-        first = old.unionByName(new)
-    comp = first.select(F.col("id").alias("rep"), "comp")
-    out = members.join(comp, "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
-    none = signed.filter(F.col("doc_id").isNull()).select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+        ids = kept.select("node")
+        wide = signed.select(F.col("row").alias("node"), "n", "c1", "c2", "sig", "odd")
+        info = scratch.save(wide.join(small(ids, n_kept), "node", "left_semi").join(kept.hint("merge"), "node"), "candidates")
+        # Full sets are made for nodes that share postings only; their texts are picked where they lie.
+        reps = scratch.save(classes.join(small(ids, n_kept), "node", "left_semi").select(F.col("rep").alias("doc_id")), "reps").distinct()
+        chosen = docs.join(small(reps, n_kept), "doc_id", "left_semi").select("text")
+        sets = chosen.mapInArrow(_sets, "c1 long, c2 long, set array<long>").groupBy("c1", "c2").agg(F.first("set").alias("set"))
+        sets = scratch.save(sets.join(info.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "set"), "sets")
+        lists = info.select("node", F.explode("ps").alias("p"))
+        linked = components(_links(_star(lists, scratch), info, sets, scratch, percent), scratch)
+        labels = scratch.save(ids.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
+        rows = _open(lists, labels, scratch)
+        if not rows.isEmpty():
+            rows = _open(scratch.save(_rare(rows, sets, percent), "rare"), labels, scratch)
+            labels = _merge(labels, _links(_rest(rows, info, percent), info, sets, scratch, percent), scratch)
+        scratch.drop(sets, info)
+    # A doc_id with several texts stands for several nodes and ties them together.
+    ties = members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc_id", "a")
+    ties = members.select("doc_id", F.col("node").alias("b")).join(ties, "doc_id").select("a", "b").filter("a <> b").distinct()
+    labels = _merge(labels, ties, scratch)
+    # A component is called by the least doc_id of its nodes.
+    named = labels.join(classes.select("node", "rep"), "node").groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = scratch.save(labels.join(named, "comp").select("node", "component_id"), "named")
+    out = members.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "rep").alias("component_id"))
+    none = signed.filter(F.col("doc_id").isNull() | (F.col("n") == 0)).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _likely(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures allow the similarity."""
-    left = info.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("sig1"), F.col("odd").alias("odd1"))
-    right = info.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("odd").alias("odd2"))
-    both = pairs.join(left, "a").join(right, "b").filter(_near_enough("n1", "n2", "odd1", "odd2", percent))
-    return both.filter(_matches("sig1", "sig2") >= MATCHES).select("a", "b").distinct()
-
-
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
