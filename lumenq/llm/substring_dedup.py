@@ -1,19 +1,21 @@
 """Substring dedup with a log-structured fingerprint index.
 
-Batches of documents come in ascending order of doc_id.  Each batch leaves one
-immutable run: a table bucketed and sorted by fingerprint.  A new batch is merge-joined
-with the runs before it, bucket by bucket and without moving them again, and after
-``FANOUT`` runs they are compacted into one.
-
-The index holds an *anchor* of each 13-word window, the least hash of the 4-word grams
-in it, instead of the window's own hash.  Equal windows have equal anchors and
-neighbouring windows mostly share one, so the index is a sixth of the size and still
-misses no window.  Fingerprints that two documents share are then verified: windows
-above such an anchor, and only those, are compared by 96 bits of hash of their whole
-word sequence, and the smallest doc_id of each is found.
-
-What is broadcast is a bit table of the shared anchors of at most ``MOST_BITS`` bits.  It
-only saves work: a false hit posts a window that no other document has.
+Batches of documents come in ascending order of doc_id.  Each batch leaves one immutable
+run: a table bucketed and sorted by fingerprint.  A new batch is merge-joined with the
+runs before it, bucket by bucket and without moving them again; after ``FANOUT`` runs they
+are merge-joined into one, again in place.  A manifest in the index's folder names the
+runs, so that a later job opens the index and adds a batch.
+
+The fingerprint of a 13-word window is its *anchor*, the least hash of the 4-word grams in
+it.  Equal windows have equal anchors and neighbouring windows mostly share one, so the
+index is a sixth of the size of one by window hashes and misses no window.  Windows
+above a fingerprint that two documents share, and only those, are compared by 96 bits of
+hash of their word sequence, and the smallest doc_id of each is found.  Last, words are
+compared: the passages of that document are sent to the one that repeats them, and a
+window counts only where its words are the same.
+
+What is broadcast is a Bloom filter of the shared anchors of at most ``MOST_BITS`` bits.
+It only saves work: a false hit posts a window that no other document has.
 
 Defined results: null or short texts have no windows and lose nothing; rows with a null
 doc_id neither lose words nor cost others any; rows with equal doc_id don't remove each
@@ -22,6 +24,7 @@ other's words.  All windows are judged on the input.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -31,17 +34,25 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenq.llm._store import BROADCAST_ROWS, Scratch
-from lumenq.llm._text import windows, word_hashes
+from lumenq.llm._store import BROADCAST_ROWS, Scratch, file_system, shuffles_end, small
+from lumenq.llm._text import mix, windows, word_hashes
 
-WIDTH, GRAM, FANOUT, BATCHES = 13, 4, 4, 2
+WIDTH, GRAM, FANOUT, BATCHES = 13, 4, 2, 3
 MOST_BITS = 1 << 29
+PROBES = 4
+ROWS = 512  # rows that a Python worker holds in its own form at a time
 
 
 def _words(text) -> list[bytes]:
     return (text.as_py() or b"").split()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     """The anchor of every window, in order."""
     grams = windows(hashes, GRAM)
@@ -55,7 +66,7 @@ def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, fp: the distinct anchors of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             found = [np.unique(_anchors(word_hashes(_words(t)), width)) for t in batch.column(1).cast(pa.binary())]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = pa.array(np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64))
@@ -65,80 +76,127 @@ def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, first, last): the smallest and largest doc_id with an anchor."""
+    """Sorted immutable runs of (fp, first, last): the smallest and largest doc_id with an anchor.
 
-    def __init__(self, spark, width: int = WIDTH, fanout: int = FANOUT):
+    ``path`` is the index's folder in shared storage; without one it lies among the scratch
+    tables.  Opening a folder that holds an index goes on with its runs.  Manifests are
+    numbered and never overwritten: of two jobs that add to one index, one fails.
+    """
+
+    def __init__(self, spark, width: int = WIDTH, fanout: int = FANOUT, path: str | None = None):
         self.spark, self.width, self.fanout = spark, width, fanout
         self.scratch = Scratch(spark, "runs")
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+        self.path = path or self.scratch.path("index")
+        self.version, self.runs, self.buckets = 0, [], int(spark.conf.get("spark.sql.shuffle.partitions"))
+        fs, at = file_system(spark, self.path)
+        if fs.exists(at):
+            names = [f.getPath().getName() for f in fs.listStatus(at)]
+            self.version = max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
+        if self.version:
+            held = json.loads("".join(r[0] for r in spark.read.text(self._manifest(self.version)).collect()))
+            if held["width"] != width:
+                raise ValueError(f"the index holds windows of {held['width']} words")
+            self.runs, self.buckets = held["runs"], held["buckets"]
+        for run in self.runs:
+            self._declare(run)
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest-{version:08d}.json"
+
+    def _declare(self, run: str) -> None:
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {run} (fp BIGINT, first BIGINT, last BIGINT) USING parquet CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+
+    def _commit(self, runs: list[str]) -> None:
+        fs, at = file_system(self.spark, self._manifest(self.version + 1))
+        out = fs.create(at, False)
+        out.write(bytearray(json.dumps({"width": self.width, "buckets": self.buckets, "runs": runs}).encode()))
+        out.close()
+        self.version, old, self.runs = self.version + 1, self.runs, runs
+        for run in set(old) - set(runs):
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self.scratch.delete(f"{self.path}/{run}")
 
     def _write(self, run: DataFrame) -> str:
         name = f"lumenq_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.scratch.path("run")).saveAsTable(name)
+        with shuffles_end(self.spark):
+            run.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").saveAsTable(name)
         return name
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Add a batch (doc_id, text) of larger doc_ids than any before; returns fp of the anchors it shares."""
-        rows = anchor_rows(docs, self.width).groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        # The aggregation already deals rows by fp into as many partitions as buckets: one file each.
-        name = self._write(rows)
+        # The aggregation deals rows by fp into as many partitions as buckets: one file each.
+        name = self._write(anchor_rows(docs, self.width).groupBy("fp").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")))
         run = self.spark.table(name)
         shared = run.filter("first < last").select("fp")
         for old in self.runs:
             shared = shared.unionByName(run.join(self.spark.table(old).hint("merge"), "fp").select(run["fp"]))
         shared = self.scratch.save(shared, "shared")
-        self.runs.append(name)
+        self._commit([*self.runs, name])
         if len(self.runs) > self.fanout:
             self.compact()
         return shared
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go only when the new one is written."""
-        # Read as plain files: a union of bucketed scans counts as dealt by fp, but isn't.
-        files = [f for name in self.runs for f in self.spark.table(name).inputFiles()]
-        merged = self.spark.read.schema("fp long, first long, last long").parquet(*files) if files else self.spark.table(self.runs[0])
-        merged = merged.groupBy("fp").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        name, old = self._write(merged), self.runs
-        self.runs = [name]
-        self._forget(old)
-
-    def _forget(self, names: list[str]) -> None:
-        for name in names:
-            table = self.spark.table(name)
-            self.scratch.drop(table)
-            self.spark.sql(f"DROP TABLE {name}")
+        """Merge all runs into one; the old ones go only when the new one is written and named."""
+        merged = self.spark.table(self.runs[0])
+        for run in self.runs[1:]:
+            more = self.spark.table(run).select("fp", F.col("first").alias("f"), F.col("last").alias("l"))
+            merged = merged.join(more.hint("merge"), "fp", "full_outer").select("fp", F.least("first", "f").alias("first"), F.greatest("last", "l").alias("last"))
+        self._commit([self._write(merged)])
 
     def close(self) -> None:
-        self._forget(self.runs)
-        self.runs = []
+        """Forget the runs' names in the session's catalog; their files and the manifest stay."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+
+    def delete(self) -> None:
+        self.close()
+        self.scratch.delete(self.path)
 
 
-def _bit_table(shared: DataFrame) -> np.ndarray:
-    """A table of bits, set at fp modulo its size, for 16 bits or more a fingerprint up to MOST_BITS."""
+def _bloom(shared: DataFrame) -> np.ndarray:
+    """A Bloom filter of 16 bits or more a fingerprint, up to MOST_BITS; built on executors, merged by bucket."""
     n = shared.count()
     bits = min(MOST_BITS, max(1 << 20, 1 << (16 * n - 1).bit_length())) if n else 1 << 15
-    at = F.col("fp").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = shared.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            step = mix(fp) | np.uint64(1)
+            at = [(fp + step * np.uint64(k)) & np.uint64(bits - 1) for k in range(PROBES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at).view(np.int64))], ["at"])
+
+    at = F.col("at") + 1
+    set_ = shared.mapInArrow(run, "at long").select(F.bitmap_bucket_number(at).alias("k"), F.bitmap_bit_position(at).alias("p"))
     table = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():
+    for r in set_.groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).toLocalIterator():  # at most MOST_BITS / 32768 rows of 4 KB
         table[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.b, np.uint8)
     return table
 
 
+def _holds(table: np.ndarray, fp: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each fingerprint; later probes are for those that passed the ones before."""
+    out, left = np.zeros(len(fp), bool), np.arange(len(fp))
+    step, low = mix(fp) | np.uint64(1), np.uint64(len(table) * 8 - 1)
+    for k in range(PROBES):
+        at = (fp[left] + step[left] * np.uint64(k)) & low
+        left = left[((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
+    out[left] = True
+    return out
+
+
 def window_rows(docs: DataFrame, table: np.ndarray, width: int = WIDTH) -> DataFrame:
-    """doc_id, at, h1, h2 of the windows whose anchor's bit is set, as one row of arrays per document."""
+    """doc_id, at, h1, h2 of the windows whose anchor is in the filter, as one row of arrays per document."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        low = np.uint64(len(bits) * 8 - 1)
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, ends, at, h1, h2 = [], [0], [], [], []
             for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
                 hashes = word_hashes(_words(text))
-                a = _anchors(hashes, width) & low
-                hit = np.flatnonzero((bits[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8)) & 1)
+                anchors = _anchors(hashes, width)
+                hit = np.flatnonzero(_holds(bits, anchors))
                 if len(hit):
                     ids.append(doc.as_py())
                     ends.append(ends[-1] + len(hit))
@@ -153,37 +211,68 @@ def window_rows(docs: DataFrame, table: np.ndarray, width: int = WIDTH) -> DataF
 
 
 def repeated_windows(docs: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, starts: the windows whose word sequence also starts in a document with a smaller doc_id."""
+    """doc_id, src, at, h1: the windows of a document whose hash also starts in documents with smaller doc_ids, the smallest being src."""
     scratch = Scratch(docs.sparkSession, "windows")
-    packed = scratch.save(window_rows(docs, _bit_table(shared), width), "windows")
+    packed = scratch.save(window_rows(docs, _bloom(shared), width), "windows")
     rows = packed.select("doc_id", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "w.at", "w.h1", "w.h2")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    first = scratch.save(first.select("h1", "h2", "first"), "first")
-    later = rows.join(first, ["h1", "h2"]).filter("doc_id > first")
-    out = scratch.save(later.groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "starts")
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).filter("src < last")
+    first = scratch.save(first.select("h1", "h2", "src"), "first")
+    later = rows.join(first.hint("merge"), ["h1", "h2"]).filter("doc_id > src")
+    # A document's windows meet again by document and source, as one row of arrays.
+    later = later.groupBy("doc_id", "src").agg(F.sort_array(F.collect_list(F.struct("at", "h1"))).alias("w"))
+    out = scratch.save(later.select("doc_id", "src", F.col("w.at").alias("at"), F.col("w.h1").alias("h1")), "repeated")
     scratch.drop(packed, first)
     return out
 
 
+def _passages(width: int):
+    """doc_id, at, words: what the source says where the document repeats it, windows in a row joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            ids, ats, said = [], [], []
+            for doc, at, h1, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).cast(pa.binary()), strict=True):
+                words = _words(text)
+                hashes = windows(word_hashes(words), width).view(np.int64)
+                order = np.argsort(hashes, kind="stable")
+                want, at = h1.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
+                place = np.searchsorted(hashes, want, sorter=order)
+                there = place < len(hashes)
+                there[there] = hashes[order[place[there]]] == want[there]  # several rows may share the source's doc_id
+                at, place = at[there], order[place[there]]
+                cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1)) + 1
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True) if len(at) else ():
+                    ids.append(doc.as_py())
+                    ats.append(int(at[lo]))
+                    said.append(b" ".join(words[place[lo] : place[hi - 1] + width]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ats, pa.int32()), pa.array(said, pa.binary())], ["doc_id", "at", "words"])
+
+    return run
+
+
 def _cut(width: int):
+    def covered(words: list[bytes], passages) -> np.ndarray:
+        """Which words stand in a window that a passage repeats word by word."""
+        edge = np.zeros(len(words) + 1, np.int64)
+        for p in passages or ():
+            at, run = p["at"], 0
+            for k, w in enumerate(p["words"].split(b" ")):
+                run = run + 1 if at + k < len(words) and words[at + k] == w else 0
+                if run >= width:
+                    edge[at + k - width + 1] += 1
+                    edge[at + k + 1] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             n, removed, kept = [], [], []
-            for text, starts in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
+            for text, passages in zip(batch.column(1).cast(pa.binary()), batch.column(2), strict=True):
                 words = _words(text)
-                gone = 0
-                if starts.as_py():
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    at = np.unique(starts.values.to_numpy(zero_copy_only=False))
-                    edge[at] += 1
-                    np.subtract.at(edge, at + width, 1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone = int(covered.sum())
-                    n.append(len(words))
-                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                else:
-                    n.append(len(words))
-                removed.append(gone)
+                n.append(len(words))
+                gone = covered(words, passages.as_py()) if passages.is_valid else None
+                removed.append(0 if gone is None else int(gone.sum()))
+                if removed[-1]:
+                    words = [w for w, c in zip(words, gone.tolist(), strict=True) if not c]
                 kept.append(b" ".join(words).decode("utf-8", "replace"))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept_text"])
@@ -191,12 +280,38 @@ def _cut(width: int):
     return run
 
 
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, history: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text of ``docs``, which ``history`` holds too, after windows above the shared anchors."""
+    scratch = Scratch(docs.sparkSession, "passages")
+    found = repeated_windows(history.filter(F.col("doc_id").isNotNull()), shared, width)
+    sources = scratch.save(found.select("src").distinct(), "sources")
+    source_texts = history.join(small(sources.withColumnRenamed("src", "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), "text")
+    said = found.join(source_texts.hint("merge"), "src").select("doc_id", "at", "h1", "text").mapInArrow(_passages(width), "doc_id long, at int, words binary")
+    passages = scratch.save(said.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("passages")), "passages")
+    scratch.delete(found._lumenq_path)
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    none = F.lit(None).cast(passages.schema["passages"].dataType).alias("passages")
+    if passages.count() > BROADCAST_ROWS:
+        return docs.join(passages, "doc_id", "left").select("doc_id", "text", "passages").mapInArrow(_cut(width), schema)
+    # Few documents lose words: only their texts move, to meet what they lose.
+    ids = F.broadcast(passages.select("doc_id"))
+    clean = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(_cut(width), schema)
+    hit = docs.join(ids, "doc_id", "left_semi").join(passages.hint("merge"), "doc_id").select("doc_id", "text", "passages").mapInArrow(_cut(width), schema)
+    return clean.unionByName(hit)
+
+
+def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame) -> DataFrame:
+    """Dedup a batch (doc_id, text) of larger doc_ids against ``history``, the documents already in the index, and add it."""
+    shared = index.add(batch.filter(F.col("doc_id").isNotNull()))
+    return remove_repeats(batch, history.unionByName(batch), shared, index.width)
+
+
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_text (kept words joined by spaces) of every row."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     known = docs.filter(F.col("doc_id").isNotNull())
     bounds = sorted(set(known.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []
-    index = FingerprintIndex(df.sparkSession, width)
+    index = FingerprintIndex(df.sparkSession, width, fanout)
     shared = None
     for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
         batch = known
@@ -206,17 +321,8 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
             batch = batch.filter(F.col("doc_id") <= int(hi))
         found = index.add(batch)
         shared = found if shared is None else shared.unionByName(found)
-    index.close()  # a batch job; a store that goes on keeps its runs
-    starts = repeated_windows(known, shared, width)
-    schema = "doc_id long, n_words long, n_removed long, kept_text string"
-    none = F.lit(None).cast("array<int>").alias("starts")
-    if starts.count() > BROADCAST_ROWS:
-        return docs.join(starts, "doc_id", "left").select("doc_id", "text", "starts").mapInArrow(_cut(width), schema)
-    # Few documents lose words: only their texts move, to meet what they lose.
-    ids = F.broadcast(starts.select("doc_id"))
-    clean = docs.join(ids, "doc_id", "left_anti").select("doc_id", "text", none).mapInArrow(_cut(width), schema)
-    hit = docs.join(ids, "doc_id", "left_semi").join(starts.hint("merge"), "doc_id").select("doc_id", "text", "starts").mapInArrow(_cut(width), schema)
-    return clean.unionByName(hit)
+    index.delete()  # a batch job; a store that goes on keeps its index
+    return remove_repeats(docs, docs, shared, width)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -163,7 +163,39 @@ def test_index_compacts_to_the_same_fingerprints(docs, spark):
     assert len(index.runs) == 1
     run = spark.table(index.runs[0])
     assert run.count() == substring_dedup.anchor_rows(known).select("fp").distinct().count() == run.select("fp").distinct().count()
-    index.close()
+    first = {r.fp: (r.lo, r.hi) for r in substring_dedup.anchor_rows(known).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).collect()}
+    assert {r.fp: (r["first"], r["last"]) for r in run.collect()} == first
+    index.delete()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lumenq_run")]
+
+
+def test_a_later_job_adds_a_batch_to_the_index(docs, spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    known = docs.select("doc_id", "text")
+    got = []
+    for lo, hi in ((0, 1), (2, 8), (9, 10), (11, 99)):
+        index = substring_dedup.FingerprintIndex(spark, fanout=2, path=path)  # opened anew, as by another job
+        batch = known.filter(f"doc_id BETWEEN {lo} AND {hi}")
+        out = substring_dedup.add_batch(index, batch, known.filter(f"doc_id < {lo}"))
+        got += [(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect()]
+        index.close()
+    assert sorted(got, key=repr) == [x for x in brute_substrings(rows) if x[0] is not None]
+    assert len(substring_dedup.FingerprintIndex(spark, path=path).runs) <= 2
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, width=5, path=path)
+
+
+def test_equal_hashes_of_other_words_remove_nothing():
+    """Words decide: a passage sent by its hash alone counts only where it is the same."""
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(30)]
+    passages = [{"at": 2, "words": " ".join(words[2:14] + ["x"] + words[15:29]).encode()}]
+    kind = pa.list_(pa.struct([("at", pa.int32()), ("words", pa.binary())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)]), pa.array([passages], kind)], ["doc_id", "text", "passages"])
+    (out,) = substring_dedup._cut(13)(iter([batch]))
+    assert out.column(2).to_pylist() == [14]
 
 
 def test_flow_moves_the_fewest_bytes():
