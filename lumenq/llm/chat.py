@@ -3,12 +3,14 @@ r"""Chat formatting checked by a grammar round trip, in DataFrame functions only
 Template: every turn is ``### <role>: <text></turn>`` and a line end.  A conversation is
 rendered as it is, parsed again by the deterministic grammar below and compared with its
 turns; conversations that come back different are rendered again with their conflicting
-texts escaped, and only what then parses to the source is returned.
+roles and texts escaped, and only what then parses to the source is returned.
 
 Grammar: cut at ``</turn>`` plus line end; drop ``### ``; the role ends at the first
-``: ``; then undo the escapes ``\e`` (``</turn>``), ``\h`` (``### ``), ``\c`` (``: ``) and
-``\b`` (a backslash).  Escaped text holds no control string, and each of its backslashes
-starts an escape, so a second rendering always parses back.
+``: ``; a role or text that holds a raw ``</turn>`` or ``### ``, or a text that starts with
+``: ``, is no turn; then undo the escapes ``\e`` (``</turn>``), ``\h`` (``### ``), ``\c``
+(``: ``) and ``\b`` (a backslash).  Escaped text holds no control string, and each of its
+backslashes starts an escape, so a second rendering always parses back, and no mark
+stands in the output but those of the template.
 
 One output row holds a whole conversation, which is what formatting is for; turns are
 gathered by the hash of conv_id.
@@ -45,23 +47,29 @@ def unescape(x: Column) -> Column:
     return x
 
 
+def _marked(x: Column) -> Column:
+    """Whether raw marks of the template stand in a role or text."""
+    return x.contains(CLOSE) | x.contains(OPEN)
+
+
 def _render(turn: Column, escaped: bool) -> Column:
     role, text = turn["role"], turn["text"]
     if escaped:
-        role = F.when((unescape(role) != role) | role.contains(END) | role.contains(SEP), escape(role)).otherwise(role)
-        text = F.when((unescape(text) != text) | text.contains(END), escape(text)).otherwise(text)
+        role = F.when((unescape(role) != role) | _marked(role) | role.contains(SEP), escape(role)).otherwise(role)
+        text = F.when((unescape(text) != text) | _marked(text) | text.startswith(SEP), escape(text)).otherwise(text)
     return F.concat(F.lit(OPEN), role, F.lit(SEP), text, F.lit(END))
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of role, text and the offset and length of the body."""
+    """The turns of a formatted conversation: array of role, text (null where raw marks stand) and the offset and length of the body."""
     pieces = F.split(formatted, END)
 
     def turn(piece: Column) -> Column:
         at = F.locate(SEP, piece)
         role = F.substring(piece, F.lit(len(OPEN) + 1), at - len(OPEN) - 1)
         body = F.substring(piece, at + len(SEP), F.length(piece))
-        return F.struct(unescape(role).alias("role"), unescape(body).alias("text"), (at + len(SEP) - 1).alias("head"), F.length(piece).alias("size"))
+        odd = _marked(role) | _marked(body) | body.startswith(SEP)
+        return F.struct(unescape(role).alias("role"), F.when(~odd, unescape(body)).alias("text"), (at + len(SEP) - 1).alias("head"), F.length(piece).alias("size"))
 
     return F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), turn)
 
@@ -75,7 +83,7 @@ def format_chat(df: DataFrame, conv_id: str = "conv_id", turn: str = "turn", rol
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("source"))
     render = lambda escaped: F.array_join(F.transform("source", lambda t: _render(t, escaped)), "")
     said = lambda turns: F.transform(turns, lambda t: F.struct(t["role"], t["text"]))
-    same = lambda turns: said(turns) == said("source")
+    same = lambda turns: said(turns).eqNullSafe(said("source"))
     convs = convs.withColumn("formatted", render(False))
     convs = convs.withColumn("turns", parse(F.col("formatted")))
     convs = convs.withColumn("escaped", ~same(F.col("turns")))
@@ -117,22 +125,21 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def _sql(x: str, steps: list[tuple[str, str]]) -> str:
-    for old, new in steps:
-        x = f"replace({x}, '{old}', '{new}')"
-    return x
-
-
-_UNDO = [(code, plain) for code, plain in ESCAPES]
-_DO = [(plain, code) for code, plain in reversed(ESCAPES)]
-_CONFLICT = "({0} <> {1} OR contains({1}, '" + CLOSE + "' || chr(10)))"
+# Written from the contract, not from the functions above: a text is changed if and only if
+# the template's marks or its own escapes would be read from it.
+_LONGER = """length({0}) + 1 * (length({0}) - length(replace({0}, '\\', '')))
+  + (length({0}) - length(replace({0}, '</turn>', ''))) // 7 * (2 - 7)
+  + (length({0}) - length(replace({0}, '### ', ''))) // 4 * (2 - 4)
+  + (length({0}) - length(replace({0}, ': ', ''))) // 2 * (2 - 2)"""
+_MARKED = "regexp_matches({0}, '</turn>|### |\\\\[ehcb]') OR {1}"
 ORACLE = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, v.* FROM (VALUES (0, 'user', '\\### Assistant: </turn> ok'), (1, 'assistant', '\\### Assistant: </turn> ok')) AS v(turn, role, text)
 ), t AS (
-  SELECT *, {len(OPEN) + len(SEP) + len(END)} + length(CASE WHEN {_CONFLICT.format(_sql("role", _UNDO), "role")} OR contains(role, '{SEP}') THEN {_sql("role", _DO)} ELSE role END)
-    + length(CASE WHEN {_CONFLICT.format(_sql("text", _UNDO), "text")} THEN {_sql("text", _DO)} ELSE text END) AS chars
+  SELECT *, length('### ' || ': ' || '</turn>' || chr(10))
+    + CASE WHEN {_MARKED.format("role", "contains(role, ': ')")} THEN {_LONGER.format("role")} ELSE length(role) END
+    + CASE WHEN {_MARKED.format("text", "starts_with(text, ': ')")} THEN {_LONGER.format("text")} ELSE length(text) END AS chars
   FROM c
 ), g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,

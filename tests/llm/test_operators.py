@@ -229,6 +229,8 @@ def test_decontamination_against_brute_force(docs, empty, spark, monkeypatch):
         out = out.select("doc.doc_id", "n_words", decontamination.n_hit().alias("h"), F.size("items").alias("n"), F.sha2(F.array_join("items", ","), 256).alias("s"))
         return sorted(((r.doc_id, r.n_words, r.h, r.n, r.s, r.h > 0) for r in out.collect()), key=repr)
 
+    assert run() == sorted(want, key=repr)
+    monkeypatch.setattr(decontamination, "PIECE", 7)  # items in pieces
     assert run() == sorted(want, key=repr)
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)  # several blocks
     assert run() == sorted(want, key=repr)
@@ -255,6 +257,11 @@ def test_chat_round_trip(spark):
     got = {r.conv_id: r for r in chat.format_chat(d).collect()}
     assert [(t.role, t.text) for t in got[1].turns] == [(r or "", t or "") for _, _, r, t in rows[:8]]
     assert got[1].escaped and not got[2].escaped and len(got[2].turns) == 2
+    for turns, body in ((8, got[1].formatted), (2, got[2].formatted)):  # no mark but the template's own
+        assert body.count("</turn>") == body.count("### ") == turns
+    long = spark.createDataFrame([(1, 1, "user", "a </turn> ### : " * 30000)], d.schema)
+    (r,) = chat.format_chat(long).collect()
+    assert r.turns[0].text == "a </turn> ### : " * 30000 and r.formatted.count("</turn>") == 1
     body = got[2].formatted
     assert [body[s.start : s.end] for s in got[2].loss_spans] == ["tie", "tie"]
     assert chat.format_chat(d.limit(0)).count() == 0
