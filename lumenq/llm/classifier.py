@@ -15,7 +15,7 @@ whole, where it lies.
 
 Defined results: null and empty texts are pooled to zeros and scored so; without any
 label every score is 0.5, with labels of one kind it is their smoothed share; repeated
-rows get equal scores; of several labels of an id the least counts.
+rows get equal scores; of several labels or texts of an id the least is learned from.
 """
 
 from __future__ import annotations
@@ -165,10 +165,12 @@ def _pooled(table):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors and the network, from labelled documents that aren't held out."""
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = spark.createDataFrame(chosen.collect(), chosen.schema)  # at most `sample` rows of two numbers
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").limit(2 * sample)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # one text an id: at most `sample`
     # Word vectors come from one half and the network's examples from the other: on its own
     # texts, a table knows every word, which no text that is scored later can match.
     half = F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))
