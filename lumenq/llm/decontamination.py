@@ -6,9 +6,12 @@ For each pattern length a shift table over blocks of two words says how far the
 may skip; where it may not, the block's suffix bucket lists the patterns to compare
 word by word.  Documents are searched whole where they lie: nothing is shuffled.
 
-The patterns go to the tasks in blocks of at most ``BLOCK_BYTES``; a larger benchmark is
-searched for block after block, each pass adding to the hits of the one before, so what
-is broadcast stays bounded however large the benchmark is.
+The benchmark is cut into pieces of at most ``PIECE`` words that overlap by a window less
+one, and the pieces are dealt to blocks of about ``BLOCK_BYTES``; tasks get a block's text and
+build its tables themselves.  A benchmark of one block is searched for in one pass that
+shuffles nothing.  A larger one takes a pass a block, each written as rows of hits only, and
+the hits of all passes are merged by row at the end: what is broadcast stays bounded
+however large the benchmark is, and no number of blocks is too many.
 
 Defined results: null texts have no words, items without words no pattern, so neither
 is ever hit; repeated rows are judged one by one; a null item_id counts as ''.
@@ -23,9 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenq.llm._store import Scratch
+
 WINDOW = 10
-BLOCK_BYTES = 16_000_000
-MOST_BLOCKS = 64
+BLOCK_BYTES = 2_000_000
+PIECE = 4096
 _OTHER = bytes(c for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122))
 _TABLE = bytes(32 if c in _OTHER else c for c in range(256))
 
@@ -99,37 +104,71 @@ def _join_spans(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str, window: int) -> tuple[DataFrame, int]:
+    """Pieces of items (id, t, block), and the number of blocks."""
+    lower = F.translate(F.coalesce(F.col(item_text).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), words.alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1), F.lit(PIECE))
+    pieces = items.select("id", "w", F.explode(starts).alias("at"))
+    pieces = pieces.select("id", F.array_join(F.slice("w", F.col("at"), F.lit(PIECE + window - 1)), " ").alias("t")).distinct()
+    size = pieces.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("id") + 16), F.lit(0))).first()[0]
+    n = max(1, -(-size // BLOCK_BYTES))
+    return pieces.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n))), n
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The columns of ``df`` in a struct ``doc``, then n_words, spans of hit words and items."""
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("id"), F.col(item_text).cast("binary").alias("t"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // BLOCK_BYTES))
-    if n_blocks > MOST_BLOCKS:
-        raise ValueError(f"the benchmark has {size} bytes; split it and chain calls of decontaminate()")
+    spark = df.sparkSession
+    pieces, n = _blocks(benchmark, item_id, item_text, window)
     out = df.select(F.struct("*").alias("doc")).select("doc", F.col(f"doc.{text}").cast("string").alias("t"))
-    out = out.select("doc", "t", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for k in range(n_blocks):
-        block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == k)
-        patterns = df.sparkSession.sparkContext.broadcast(item_patterns([(r.id, bytes(r.t or b"")) for r in block.toLocalIterator()], window))
-        out = out.mapInArrow(_search(patterns), out.schema)
-    return out.select("doc", "n_words", "spans", "items")
+    empty = (F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+
+    def search(rows: DataFrame, block: DataFrame) -> DataFrame:
+        held = spark.sparkContext.broadcast([(r.id, r.t.encode()) for r in block.toLocalIterator()])
+        rows = rows.select("*", *empty)
+        return rows.mapInArrow(_search(held, window), rows.schema).drop("t")
+
+    if n == 1:
+        return search(out, pieces)
+    scratch = Scratch(spark, "leaks")
+    pieces = scratch.save(pieces, "pieces")
+    docs = scratch.save(out.withColumn("row", F.monotonically_increasing_id()), "documents")  # numbered once, as written
+    hits = None
+    for k in range(n):
+        found = search(docs.select("row", "t"), pieces.filter(F.col("block") == k))
+        found = scratch.save(found.filter(F.size("items") > 0) if k else found, "hits")  # the first pass counts words
+        hits = found if hits is None else hits.unionByName(found)
+    hits = hits.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return docs.join(hits, "row").select("doc", "n_words", _merged("spans").alias("spans"), "items")
+
+
+def _merged(spans: str):
+    """Spans in order, those that touch or overlap as one."""
+    none = F.array().cast("array<array<int>>")
+
+    def add(done, s):
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], s[1]))))
+        return F.when(F.size(done) == 0, F.array(s)).when(s[0] <= F.try_element_at(done, F.lit(-1))[1], grown).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
-def _search(patterns):
+def _search(held, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = WuManber(patterns.value)
+        search = WuManber(item_patterns(held.value, window))
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            at = {name: i for i, name in enumerate(batch.schema.names)}
             n_words, spans, items = [], [], []
-            for text, was, had in zip(texts, batch.column(3), batch.column(4), strict=True):
+            for text in batch.column(at["t"]).cast(pa.binary()):
                 w = words_of(text.as_py())
                 hits = list(search.find(w))
                 n_words.append(len(w))
-                old, ids = was.as_py(), had.as_py()
-                spans.append(_join_spans(old + [[a, a + m] for a, m, _ in hits]) if hits else old)
-                items.append(sorted({*ids, *(x for h in hits for x in h[2])}) if hits else ids)
-            columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                spans.append(_join_spans([[a, a + m] for a, m, _ in hits]))
+                items.append(sorted({x for h in hits for x in h[2]}))
+            made = {"n_words": pa.array(n_words, pa.int64())} | {k: pa.array(x, batch.schema.field(at[k]).type) for k, x in (("spans", spans), ("items", items))}
+            yield pa.RecordBatch.from_arrays([made.get(name, batch.column(i)) for name, i in at.items()], schema=batch.schema)
 
     return run
 
