@@ -204,17 +204,45 @@ def test_flow_moves_the_fewest_bytes():
     assert sum(x for (i, j), x in sharding.min_cost_flow([9, 9, 9], [7, 7, 7, 6]).items() if i != j) == 6
 
 
-def test_shards(docs, empty, tmp_path):
-    rows = sharding.reshard_slots(docs.drop("_size"), n_old=2, n_new=3, blocks=8).collect()
+def test_shards(docs, empty):
+    rows = sharding.reshard_slots(docs, n_old=2, n_new=3, blocks=8).collect()
     assert len(rows) == docs.count()
     for s in {r.shard for r in rows}:
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert sharding.reshard_slots(empty).count() == 0
-    plain = docs.select("doc_id", "text")
-    moves = sharding.rewrite(plain, f"file://{tmp_path}/out", n_old=2, n_new=3, blocks=8).collect()
-    moved = {s for r in moves if r.shard != r["_old"] for s in (r.shard, r["_old"])}
-    written = {r.shard: r["count"] for r in plain.sparkSession.read.parquet(f"file://{tmp_path}/out").groupBy("shard").count().collect()}
-    assert written == {s: n for s in moved if (n := sum(r.block_rows for r in moves if r.shard == s))}
+
+
+def test_files_are_resharded_in_place(docs, empty, spark, tmp_path):
+    key = lambda r: repr((r.doc_id, r.text, r.source, r.shard))
+    want = sorted(key(r) for r in docs.collect())
+    path = f"file://{tmp_path}/a b"
+    layout = sharding.lay_out(docs, path, shards=3, blocks=16, parts=4)
+    for n in (3, 5, 2):
+        layout = sharding.Layout(spark, path)  # as another job opens it
+        before = {f for _, f in layout.held["folders"]}
+        done = sharding.reshard_files(layout, n)
+        assert len(before & {f for _, f in layout.held["folders"]}) == done["kept"]
+        got = sharding.read_shards(layout)
+        assert sorted(key(r.doc) for r in got.collect()) == want
+        assert {r.shard for r in got.collect()} <= set(range(n))
+    same = sharding.Layout(spark, path)
+    assert sharding.reshard_files(same, 2)["moved"] == 0  # even already: no move, no file lost
+    assert sorted(key(r.doc) for r in sharding.read_shards(same).collect()) == want
+    none = sharding.lay_out(empty, f"file://{tmp_path}/none")
+    assert sharding.reshard_files(none)["rewritten"] == 0 and sharding.read_shards(none).count() == 0
+
+
+def test_shards_are_even_with_a_third_of_null_ids_and_move_the_fewest_bytes(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, "t" * (i % 50), i % 4) for i in range(6000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(4)
+    layout = sharding.lay_out(d, f"file://{tmp_path}/s", shards=4, shard="shard")
+    size = lambda: {r.shard: r.b for r in sharding.read_shards(layout).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+    old = size()
+    done = sharding.reshard_files(layout, 6)
+    new = size()
+    assert max(new.values()) - min(new.values()) <= 0.02 * max(new.values()) and len(new) == 6
+    least = sum(x for (i, j), x in sharding.min_cost_flow([old[i] for i in range(4)], [done["bytes"] * (j + 1) // 6 - done["bytes"] * j // 6 for j in range(6)]).items() if i != j)
+    assert done["moved"] <= 1.05 * least and done["kept"] > 0
 
 
 def test_decontamination_against_brute_force(docs, empty, spark, monkeypatch):
