@@ -71,18 +71,30 @@ def _arithmetic(e: Typed, a: Column, b: Column) -> Column:
     return out.cast(e.type.spark())
 
 
+def _plain(e: Typed) -> bool:
+    """Whether an expression is a literal, which is never NaN."""
+    return e.op == "literal" or e.op in ("cast", "neg") and _plain(e.args[0])
+
+
+_MIRRORED = {"=": "=", "<>": "<>", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+
+
 def _comparison(e: Typed, a: Column, b: Column) -> Column:
-    out = _COMPARE[e.op](a, b)
-    if e.args[0].type.floating:  # a NaN equals nothing and comes before nothing
-        odd = F.isnan(a) | F.isnan(b)
-        out = F.when(a.isNotNull() & b.isNotNull() & odd, e.op == "<>").otherwise(out)
-    return out
+    """A NaN equals nothing and comes before nothing; for Spark it equals itself and comes last.
+
+    Against a literal both agree but for > and >=, and the comparison can be pushed to the scan.
+    """
+    if not e.args[0].type.floating:
+        return _COMPARE[e.op](a, b)
+    if _plain(e.args[0]) or _plain(e.args[1]):
+        op, x, c = (e.op, a, b) if _plain(e.args[1]) else (_MIRRORED[e.op], b, a)
+        return _COMPARE[op](x, c) & ~F.isnan(x) if op in (">", ">=") else _COMPARE[op](x, c)
+    return F.when(a.isNotNull() & b.isNotNull() & (F.isnan(a) | F.isnan(b)), e.op == "<>").otherwise(_COMPARE[e.op](a, b))
 
 
 def _is_in(e: Typed, a: list[Column]) -> Column:
-    if not e.args[0].type.floating:
+    if not e.args[0].type.floating or all(_plain(x) for x in e.args[1:]):
         return a[0].isin(*a[1:])
-    # Constants that aren't NaN match no NaN, and a plain IN can be pushed to the scan.
     return F.when(F.isnan(a[0]), F.lit(False)).otherwise(a[0].isin(*a[1:]))
 
 

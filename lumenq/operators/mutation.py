@@ -24,7 +24,7 @@ def _assign(f: Field, e: Typed) -> Typed:
     return cast(e, f.type)
 
 
-def _violations(f: Field, c: Column) -> list[tuple[str, Column]]:
+def _violations(f: Field, c: Column, keyed: bool = False) -> list[tuple[str, Column]]:
     """What a stored value may not be, with the error's code."""
     out = []
     if not f.nullable:
@@ -33,11 +33,15 @@ def _violations(f: Field, c: Column) -> list[tuple[str, Column]]:
         out.append(("ValueTooLong", F.octet_length(c) > f.type.size))
     if f.type.name == "VECTOR":
         out.append(("DimensionMismatch", F.size(c) != f.type.size))
+        out.append(("NullElement", F.exists(c, lambda x: x.isNull())))
+    if keyed and f.type.floating:
+        out.append(("InvalidKey", F.isnan(c)))
     return out
 
 
-def _check(df: DataFrame, fields: list[Field], at: dict[str, Column]) -> None:
-    tests = [(code, f.name, bad) for f in fields for code, bad in _violations(f, at[f.name])]
+def _check(df: DataFrame, fields: list[Field], at: dict[str, Column], keyed: list[str] = ()) -> None:
+    """Raise for values that a column can't hold; ``keyed`` columns are keys of an index."""
+    tests = [(code, f.name, bad) for f in fields for code, bad in _violations(f, at[f.name], f.name in keyed)]
     if not tests:
         return
     found = df.agg(*[F.max(F.coalesce(bad, F.lit(False))).alias(f"t{k}") for k, (_, _, bad) in enumerate(tests)]).first()
@@ -52,6 +56,12 @@ def unique_columns(c: dict, fields: list[Field]) -> list[str]:
     return [f.name for f in fields if f.unique or f.name.lower() in named]
 
 
+def keyed_columns(c: dict, fields: list[Field]) -> list[str]:
+    """Columns that are unique or have an index."""
+    named = {i["column"].lower() for i in c["indexes"]}
+    return [f.name for f in fields if f.unique or f.name.lower() in named]
+
+
 def insert(catalog: Catalog, c: dict, s: ast.Insert, binder: Binder) -> int:
     fields = catalog.fields(c)
     by_name = {f.name.lower(): f for f in fields}
@@ -77,11 +87,9 @@ def insert(catalog: Catalog, c: dict, s: ast.Insert, binder: Binder) -> int:
             given[f.name.lower()] = value.cast(f.type.spark())
     one = catalog.spark.range(1).select(*[given[f.name.lower()].alias(f.name) for f in fields])
     row = one.first()
-    _check(catalog.spark.createDataFrame([tuple(row)], one.schema), fields, {f.name: column(f.name) for f in fields})
+    _check(catalog.spark.createDataFrame([tuple(row)], one.schema), fields, {f.name: column(f.name) for f in fields}, keyed_columns(c, fields))
     unique = [(n, row[n]) for n in unique_columns(c, fields) if row[n] is not None]
     if unique:
-        if any(isinstance(v, float) and v != v for _, v in unique):
-            raise ExecutionError("InvalidKey", "NaN in a unique column")
         same = reduce(lambda a, b: a | b, [column(n) == F.lit(v) for n, v in unique])
         if not catalog.read(c).filter(same).isEmpty():
             raise ExecutionError("UniqueViolation", ", ".join(n for n, _ in unique))
@@ -103,8 +111,9 @@ def _touched(catalog: Catalog, c: dict, hit: Column) -> tuple[list[str], DataFra
     files, parts = [], []
     if c["files"]:
         stored = catalog.spark.read.schema(schema).parquet(*c["files"])
-        found = {r.f.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") for r in stored.filter(hit).select(F.input_file_name().alias("f")).distinct().toLocalIterator()}
-        files = [f for f in c["files"] if f.split("://")[-1].lstrip("/").removeprefix("file:").lstrip("/") in found]
+        # File names hold the id of the job that wrote them, so they are unique without their folders.
+        found = {r.f for r in stored.filter(hit).select(F.col("_metadata.file_name").alias("f")).distinct().toLocalIterator()}
+        files = [f for f in c["files"] if f.rsplit("/", 1)[1] in found]
     if files:
         parts.append(catalog.spark.read.schema(schema).parquet(*files))
     if c["inline"] or not parts:
@@ -140,7 +149,7 @@ def update(catalog: Catalog, c: dict, sets: list[tuple[Field, Typed]], where: Ty
     files, rows = _touched(catalog, c, hit)
     new = rows.select(RID, *[(F.when(hit, fresh[f.name]).otherwise(column(f.name)) if f.name in fresh else column(f.name)).alias(f.name) for f in fields])
     staged = matched.select(RID, *[column(f.name).alias(f"old{k}") for k, f in enumerate(targets)], *[fresh[f.name].alias(f"new{k}") for k, f in enumerate(targets)])
-    _check(staged, targets, {f.name: F.col(f"new{k}") for k, f in enumerate(targets)})
+    _check(staged, targets, {f.name: F.col(f"new{k}") for k, f in enumerate(targets)}, keyed_columns(c, fields))
     for k, f in enumerate(targets):
         if f.name in unique_columns(c, fields):
             _check_unique(catalog.read(c), staged.select(RID, F.col(f"old{k}").alias("old"), F.col(f"new{k}").alias("new")), f.name)

@@ -31,7 +31,7 @@ def select(df: DataFrame, q: BoundSelect, tiebreak: list[str] = ()) -> DataFrame
     return df.select(*[compile_(e).alias(name) for name, e in q.items])
 
 
-_METRICS = {"l2_distance": ("L2", False), "cosine_distance": ("COSINE", False), "inner_product": ("IP", True)}
+_METRICS = {"l2_distance": ("L2", False), "cosine_distance": ("COSINE", False), "inner_product": ("INNER_PRODUCT", True)}
 
 
 def access_path(q: BoundSelect, indexes: list[dict], vindexes: list[dict]) -> str:

@@ -21,7 +21,7 @@ from lumenq.sources.catalog import RID, Catalog, field_to_json
 from lumenq.types import NULL, Type, from_spark_type
 
 VINDEX_OPTIONS = {"metric": "l2", "max_neighbors": 16, "ef_construction": 200, "ef_search": 64, "random_seed": 0}
-_METRICS = {"l2": "L2", "ip": "IP", "inner_product": "IP", "cosine": "COSINE"}
+_METRICS = {"l2": "L2", "inner_product": "INNER_PRODUCT", "cosine": "COSINE"}
 
 
 @dataclass
@@ -57,10 +57,11 @@ class Session:
 
     # -- sources besides collections
 
-    def register(self, name: str, df: DataFrame, key: list[str] = ()) -> Session:
+    def register(self, name: str, df: DataFrame, key: list[str] = (), skip_unsupported: bool = False) -> Session:
         """Make a DataFrame selectable under ``name``; ``key`` columns give its input order.
 
-        Columns of types that the dialect lacks are left out; arrays of floats become vectors.
+        Arrays of floats become vectors.  Columns of types that the dialect lacks are an
+        error, or left out with ``skip_unsupported``.
         """
         fields, cols = [], []
         for f in df.schema.fields:
@@ -69,11 +70,13 @@ class Session:
                 fields.append(Field(f.name, kind, f.nullable))
                 c = F.col(f"`{f.name}`")
                 cols.append(c.cast("array<double>").alias(f.name) if kind.name == "VECTOR" and f.dataType != T.ArrayType(T.DoubleType()) else c)
+            elif not skip_unsupported:
+                raise BinderError("UnsupportedType", f"{f.name} {f.dataType.simpleString()}")
         self.tables[name.lower()] = (df.select(*cols), fields, list(key))
         return self
 
-    def register_parquet(self, name: str, path: str, key: list[str] = ()) -> Session:
-        return self.register(name, self.spark.read.parquet(path), key)
+    def register_parquet(self, name: str, path: str, key: list[str] = (), skip_unsupported: bool = False) -> Session:
+        return self.register(name, self.spark.read.parquet(path), key, skip_unsupported)
 
     def register_function(self, f: Function) -> Session:
         self.functions.register(f)
@@ -89,7 +92,7 @@ class Session:
                 if f.name not in df.columns:
                     df = df.withColumn(f.name, F.lit(None) if not f.has_default else F.lit(f.default) if not isinstance(f.default, list) else F.array(*map(F.lit, f.default)))
             rows = df.select(*[F.col(f"`{f.name}`").cast(f.type.spark()).alias(f.name) for f in fields])
-            mutation._check(rows, fields, {f.name: F.col(f"`{f.name}`") for f in fields})
+            mutation._check(rows, fields, {f.name: F.col(f"`{f.name}`") for f in fields}, mutation.keyed_columns(c, fields))
             for n in mutation.unique_columns(c, fields):
                 both = rows.select(n).unionByName(self.catalog.read(c).select(n)).filter(F.col(n).isNotNull())
                 if not both.groupBy(n).count().filter("count > 1").isEmpty():
@@ -122,6 +125,7 @@ class Session:
         statement = parse(sql)
         with self._lock:
             try:
+                self.catalog.refresh()
                 return getattr(self, f"_{type(statement).__name__.lower()}")(statement)
             except EngineError:
                 raise
@@ -138,6 +142,7 @@ class Session:
     def explain(self, sql: str) -> str:
         """The access path that declared indexes would give a SELECT."""
         s = parse(sql)
+        self.catalog.refresh()
         if not isinstance(s, ast.Select):
             raise BinderError("UnsupportedStatement", "explain takes a SELECT")
         _, fields, _, c = self._source(s.table)
@@ -267,6 +272,8 @@ class Session:
             return False
         if f.type.name == "VECTOR":
             raise BinderError("InvalidType", "a scalar index takes no vector")
+        if f.type.floating and not self.catalog.read(c).filter(F.isnan(f"`{f.name}`")).isEmpty():
+            raise ExecutionError("InvalidKey", f"NaN in {f.name}")
         if s.unique:
             kept = self.catalog.read(c).select(F.col(f"`{f.name}`").alias("k")).filter("k IS NOT NULL")
             if not kept.groupBy("k").count().filter("count > 1").isEmpty():
@@ -336,7 +343,7 @@ class Session:
             return self._listing([(i["name"], i["column"], "BTREE", i["unique"]) for i in c["indexes"]], "index_name string, column_name string, type string, unique boolean")
         keys = ("name", "column", "metric", "dimension", "max_neighbors", "ef_construction", "ef_search", "random_seed")
         rows = [(*(v[k] for k in keys[:2]), "HNSW", *(v[k] for k in keys[2:])) for v in c["vindexes"]]
-        return self._listing(rows, "index_name string, column_name string, type string, metric string, dimension int, max_neighbors int, ef_construction int, ef_search int, random_seed int")
+        return self._listing(rows, "index_name string, column_name string, type string, metric string, dimension bigint, max_neighbors bigint, ef_construction bigint, ef_search bigint, random_seed bigint")
 
     def _describe(self, s: ast.Describe) -> Result:
         c = self.catalog.collection(self.catalog.state, self.database, s.table)
