@@ -30,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +38,7 @@ from lumenq.llm._text import mix, windows, word_hashes
 
 WIDTH, GRAM, FANOUT, BATCHES = 13, 4, 2, 3
 MOST_BITS = 1 << 29
+RANGES = 2
 PROBES = 4
 ROWS = 512  # rows that a Python worker holds in its own form at a time
 
@@ -55,11 +55,14 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _anchors(hashes: np.ndarray, width: int) -> np.ndarray:
     """The anchor of every window, in order."""
-    grams = windows(hashes, GRAM)
-    span = width - GRAM + 1
-    if len(grams) < span:
+    low = windows(hashes, GRAM)
+    span, held = width - GRAM + 1, 1
+    if len(low) < span:
         return np.empty(0, np.uint64)
-    return sliding_window_view(grams, span).min(axis=1)
+    while held < span:  # minima of twice as many grams each time
+        step = min(held, span - held)
+        low, held = np.minimum(low[:-step], low[step:]), held + step
+    return low
 
 
 def anchor_rows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -211,17 +214,29 @@ def window_rows(docs: DataFrame, table: np.ndarray, width: int = WIDTH) -> DataF
 
 
 def repeated_windows(docs: DataFrame, shared: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, src, at, h1: the windows of a document whose hash also starts in documents with smaller doc_ids, the smallest being src."""
+    """doc_id, src, at, src_at: the windows of a document whose hash also starts in documents with smaller doc_ids.
+
+    src is the smallest of them, src_at the window's place there.  Windows meet their sources
+    in ``RANGES`` ranges of their hash one after another, so that a part of the shuffle is on disk at a time.
+    """
     scratch = Scratch(docs.sparkSession, "windows")
     packed = scratch.save(window_rows(docs, _bloom(shared), width), "windows")
     rows = packed.select("doc_id", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "w.at", "w.h1", "w.h2")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last")).filter("src < last")
-    first = scratch.save(first.select("h1", "h2", "src"), "first")
-    later = rows.join(first.hint("merge"), ["h1", "h2"]).filter("doc_id > src")
-    # A document's windows meet again by document and source, as one row of arrays.
-    later = later.groupBy("doc_id", "src").agg(F.sort_array(F.collect_list(F.struct("at", "h1"))).alias("w"))
-    out = scratch.save(later.select("doc_id", "src", F.col("w.at").alias("at"), F.col("w.h1").alias("h1")), "repeated")
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("src"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("src_at"))
+    first = scratch.save(first.filter("src < last").select("h1", "h2", "src", "src_at"), "first")
+    parts = []
+    for k in range(RANGES):
+        inside = F.pmod("h1", F.lit(RANGES)) == k
+        later = rows.filter(inside).join(first.filter(inside).hint("merge"), ["h1", "h2"]).filter("doc_id > src")
+        parts.append(scratch.save(later.select("doc_id", "src", "at", "src_at"), "later"))
     scratch.drop(packed, first)
+    # A document's windows meet again by document and source, as one row of arrays.
+    all_ = parts[0]
+    for part in parts[1:]:
+        all_ = all_.unionByName(part)
+    grouped = all_.groupBy("doc_id", "src").agg(F.sort_array(F.collect_list(F.struct("at", "src_at"))).alias("w"))
+    out = scratch.save(grouped.select("doc_id", "src", F.col("w.at").alias("at"), F.col("w.src_at").alias("src_at")), "repeated")
+    scratch.drop(*parts)
     return out
 
 
@@ -229,19 +244,16 @@ def _passages(width: int):
     """doc_id, at, words: what the source says where the document repeats it, windows in a row joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        was, words = None, []
         for batch in _pieces(batches):
             ids, ats, said = [], [], []
-            for doc, at, h1, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).cast(pa.binary()), strict=True):
-                words = _words(text)
-                hashes = windows(word_hashes(words), width).view(np.int64)
-                order = np.argsort(hashes, kind="stable")
-                want, at = h1.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
-                place = np.searchsorted(hashes, want, sorter=order)
-                there = place < len(hashes)
-                there[there] = hashes[order[place[there]]] == want[there]  # several rows may share the source's doc_id
-                at, place = at[there], order[place[there]]
+            for doc, at, place, text in zip(batch.column(0), batch.column(1), batch.column(2), batch.column(3).cast(pa.binary()), strict=True):
+                raw = text.as_py()
+                if raw != was:  # rows come sorted by source
+                    was, words = raw, (raw or b"").split()
+                at, place = at.values.to_numpy(zero_copy_only=False), place.values.to_numpy(zero_copy_only=False)
                 cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(place) != 1)) + 1
-                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True) if len(at) else ():
+                for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(at)], strict=True):
                     ids.append(doc.as_py())
                     ats.append(int(at[lo]))
                     said.append(b" ".join(words[place[lo] : place[hi - 1] + width]))
@@ -255,8 +267,12 @@ def _cut(width: int):
         """Which words stand in a window that a passage repeats word by word."""
         edge = np.zeros(len(words) + 1, np.int64)
         for p in passages or ():
-            at, run = p["at"], 0
-            for k, w in enumerate(p["words"].split(b" ")):
+            at, run, said = p["at"], 0, p["words"].split(b" ")
+            if len(said) >= width and words[at : at + len(said)] == said:
+                edge[at] += 1
+                edge[at + len(said)] -= 1
+                continue
+            for k, w in enumerate(said):
                 run = run + 1 if at + k < len(words) and words[at + k] == w else 0
                 if run >= width:
                     edge[at + k - width + 1] += 1
@@ -286,7 +302,7 @@ def remove_repeats(docs: DataFrame, history: DataFrame, shared: DataFrame, width
     found = repeated_windows(history.filter(F.col("doc_id").isNotNull()), shared, width)
     sources = scratch.save(found.select("src").distinct(), "sources")
     source_texts = history.join(small(sources.withColumnRenamed("src", "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("src"), "text")
-    said = found.join(source_texts.hint("merge"), "src").select("doc_id", "at", "h1", "text").mapInArrow(_passages(width), "doc_id long, at int, words binary")
+    said = found.join(source_texts.hint("merge"), "src").select("doc_id", "at", "src_at", "text").mapInArrow(_passages(width), "doc_id long, at int, words binary")
     passages = scratch.save(said.groupBy("doc_id").agg(F.collect_list(F.struct("at", "words")).alias("passages")), "passages")
     scratch.delete(found._lumenq_path)
     schema = "doc_id long, n_words long, n_removed long, kept_text string"
