@@ -85,6 +85,8 @@ def session(spark: SparkSession, root: str | None = None) -> Session:
         import uuid
 
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"{shared}/lumenq-catalog-{uuid.uuid4().hex}" if shared else f"file://{tempfile.mkdtemp(prefix='lumenq-')}"
     return Session(spark, root)
 
