@@ -3,10 +3,13 @@ r"""Site-relative line frequency, in DataFrame functions only.
 A line is boilerplate of a host if it stands on more than ``max_percent`` of the
 host's pages, and on ``min_pages`` at least.  Pages are cut into lines at tags and line ends.
 
-Scale: pages send one 16-byte fingerprint per distinct line, counted before the
-shuffle, so a host or a line that holds a third of all rows sends one row per task.
-Hosts' totals and the boilerplate list are broadcast only if counted to be small;
-otherwise they are joined by sort-merge, whose hot partitions Spark splits.
+Scale: lines are counted by fingerprint before the shuffle, so a host or a line that
+holds a third of all rows sends one row per task, and only fingerprints move.  A host's
+boilerplate is one list: each of its lines stands on more than ``max_percent`` of the
+pages, so a list is shorter than 100 / max_percent times the host's mean number of
+distinct lines a page.  The lists are broadcast if counted to hold few fingerprints, and
+pages then stay where they are; otherwise pages meet their host's list by sort-merge,
+whose hot partitions Spark splits.
 
 Defined results: a null html has no lines; a null or unparsable url belongs to host
 ''.  Each row counts as a page of its own, repeated rows too, and equal rows get
@@ -42,31 +45,32 @@ def _print(x: Column) -> Column:
     return F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(17), x).alias("b"))
 
 
-def line_dedup(df: DataFrame, host: Column, lines: Column, max_percent: int = MAX_PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
-    """The columns of ``df`` in a struct ``doc``, then host, n_lines, n_dropped and kept lines."""
+def line_dedup(df: DataFrame, host: Column, lines: Column, max_percent: int = MAX_PERCENT, min_pages: int = MIN_PAGES, carry: list[str] | None = None) -> DataFrame:
+    """The columns of ``df``, or those in ``carry``, in a struct ``doc``, then host, n_lines, n_dropped and kept lines."""
     scratch = Scratch(df.sparkSession, "lines")
-    pages = df.select(F.struct("*").alias("doc"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(lines, F.array().cast("array<string>")).alias("lines"))
-    # Equal pages of a host share a key, so the join back needs no row number.
-    whole = F.array_join("lines", "\n")
-    keyed = pages.withColumns({"k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit(17), whole)})
-    narrow = scratch.save(keyed.groupBy("host", "k1", "k2").agg(F.count("*").alias("n"), F.first(F.transform(F.array_distinct("lines"), _print)).alias("prints")), "prints")
-    totals = narrow.groupBy("host").agg(F.sum("n").alias("pages"))
-    posted = narrow.select("host", "k1", "k2", "n", F.explode("prints").alias("p")).select("host", "k1", "k2", "n", "p.a", "p.b")
-    often = posted.groupBy("host", "a", "b").agg(F.sum("n").alias("on")).filter(F.col("on") >= min_pages)
-    often = scratch.save(often, "often")
-    totals = scratch.save(totals, "totals")
-    bad = scratch.save(often.join(small(totals), "host").filter(F.col("on") * 100 > F.col("pages") * max_percent).select("host", "a", "b"), "boilerplate")
-    found = posted.join(small(bad), ["host", "a", "b"], "left_semi")
-    drop = scratch.save(found.groupBy("host", "k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("drop")), "drop")
-    out = keyed.join(drop, ["host", "k1", "k2"], "left")
-    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("drop", _print(x))))
+    host, lines = F.coalesce(host, F.lit("")), F.coalesce(lines, F.array().cast("array<string>"))
+    totals = scratch.save(df.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("pages")), "totals")
+    posted = df.select(host.alias("host"), F.explode(F.array_distinct(F.transform(lines, _print))).alias("p")).select("host", "p.a", "p.b")
+    often = scratch.save(posted.groupBy("host", "a", "b").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages), "often")
+    bad = often.join(small(totals), "host").filter(F.col("on") * 100 > F.col("pages") * max_percent)
+    bad = scratch.save(bad.groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("drop")), "boilerplate")
+    prints = bad.agg(F.sum(F.size("drop"))).first()[0] or 0
+    scratch.drop(totals, often)
+    pages = df.select(F.struct(*(carry or ["*"])).alias("doc"), host.alias("host"), lines.alias("lines"))
+    out = pages.join(small(bad, prints), "host", "left")
+    # Long keys first, which Spark meets by a hash set; the whole fingerprint is compared for those found.
+    hits = F.array_intersect(F.transform("lines", lambda x: _print(x)["a"]), F.col("drop.a"))
+    stays = lambda hits: F.filter("lines", lambda x: ~(F.array_contains(hits, _print(x)["a"]) & F.array_contains("drop", _print(x))))
+    # As a lambda's argument the hits of a page are computed once, not once a line.
+    clean = F.transform(F.array(hits), stays)[0]
+    kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(clean)
     out = out.select("doc", "host", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return out.select("doc", "host", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), "kept")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    out = line_dedup(pages, host_of(F.col("url")), html_lines(F.col("html")))
+    out = line_dedup(pages, host_of(F.col("url")), html_lines(F.col("html")), carry=["page_id"])
     return out.select(F.col("doc.page_id").alias("page_id"), "host", "n_lines", "n_dropped", F.array_join("kept", "\n").alias("clean_text"))
 
 

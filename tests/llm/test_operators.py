@@ -81,6 +81,25 @@ def test_lines_of_a_host(spark):
     assert line_dedup.line_dedup(d.limit(0), line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))).count() == 0
 
 
+def test_lines_of_hosts_with_and_without_broadcasts(spark, monkeypatch):
+    """Against brute force: long pages, null and repeated ones, a column with an operator's own name."""
+    rng = random.Random(5)
+    lines = [f"line {k}" for k in range(60)]
+    rows = [(k, f"http://h{k % 3}.x/{k}", "<br>".join(rng.choices(lines, k=rng.choice([0, 5, 40])))) for k in range(60)]
+    rows += [(60, "http://h0.x/long", "<br>".join(f"only {k} <b>line {k % 60}</b>" for k in range(20_000))), (61, None, None), (62, "http://h1.x", None), rows[0], rows[0]]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("drop", F.lit("x"))
+    want = []
+    cut = [(p, (u or "://").split("/")[2] if u else "", [x.strip() for x in (h or "").replace("<b>", "<br>").replace("</b>", "<br>").split("<br>") if x.strip()]) for p, u, h in rows]
+    for p, host, has in cut:
+        pages = [set(x) for _, other, x in cut if other == host]
+        on = {x: sum(x in q for q in pages) for x in set(has)}
+        want.append((p, host, [x for x in has if on[x] < 3 or on[x] * 100 <= 20 * len(pages)]))
+    for most in (line_dedup.small.__defaults__[1], -1):
+        monkeypatch.setattr(line_dedup.small, "__defaults__", (None, most))
+        got = line_dedup.line_dedup(d, line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))).select("doc.page_id", "host", "kept").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def shingles(t):
     w = (t or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
