@@ -1,6 +1,7 @@
 """Mixing sources to target weights by hash thresholds, in DataFrame functions only.
 
-Every document has a point in [0, 2^48) from the MD5 of its id.  A source's target is
+Every document has a point in [0, 2^48) from the MD5 of its id (of its text, if the id
+is null).  A source's target is
 met by whole copies of all its documents plus those below a threshold of the point.
 Thresholds come from histograms of sizes by source and bucket: the bucket in which a
 budget ends is found on cumulated sums, then only that bucket is split into finer
@@ -12,7 +13,7 @@ per source).
 
 Defined results: a null text has size 0; a null source is a source, ranked last; a
 source without words has target 0 and takes nothing; rows with equal doc_id share a
-point and so stand or fall together, those with a null doc_id as well.
+point and so stand or fall together, as do equal texts without a doc_id.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{WORD_SPACE[1:-1]}]+")), F.lit(0)).cast("long")
 
 
-def _point(doc_id: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long")
+def _point(doc_id: Column, text: Column) -> Column:
+    """A point in [0, 2^48) of the id, or of the text where there is no id: many null ids must not fall on one point."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit(""))), 1, 12), 16, 10).cast("long")
 
 
 def _by_source(df: DataFrame, table: DataFrame, rows: int) -> DataFrame:
@@ -107,10 +109,10 @@ def thresholds(sized: DataFrame, most: int = MOST) -> tuple[DataFrame, int]:
 
 def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", most: int = MOST) -> DataFrame:
     """The columns of ``df`` in a struct ``doc``, then size, source_size, target and copies."""
-    sized = df.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _point(F.col(doc_id)).alias("point"))
+    sized = df.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _point(F.col(doc_id), F.col(text)).alias("point"))
     sized = Scratch(df.sparkSession, "mix").save(sized, "sizes")
     table, rows = thresholds(sized, most)
-    docs = df.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _point(F.col(doc_id)).alias("point"))
+    docs = df.select(F.struct("*").alias("doc"), F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"), _point(F.col(doc_id), F.col(text)).alias("point"))
     out = _by_source(docs, table.withColumnRenamed("source", "_s"), rows)
     copies = F.least(F.lit(most), F.col("whole") + (F.col("point") < F.col("threshold")).cast("int"))
     return out.select("doc", "source", "size", "source_size", "target", copies.alias("copies"))
@@ -119,7 +121,7 @@ def mix(df: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     # The digest needs no texts, so documents are read once, for their sizes.
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _point(F.col("doc_id")).alias("point"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _point(F.col("doc_id"), F.col("text")).alias("point"))
     sized = Scratch(spark, "mix").save(sized, "sizes")
     table, rows = thresholds(sized)
     out = _by_source(sized, table.withColumnRenamed("source", "_s"), rows)
@@ -145,7 +147,7 @@ t{level + 1} AS (SELECT t.source, source_size, target, whole, greatest(0.0::DOUB
 ORACLE = f"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '{WORD_SPACE}+'), lambda x: x <> '')) AS BIGINT) AS size,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT AS point
+    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12))::BIGINT AS point
   FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),

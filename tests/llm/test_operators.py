@@ -293,6 +293,10 @@ def test_mixing(docs, empty, spark):
     assert abs(sum(r.target for r in got) - total) < 1e-6
     for r in got:
         assert abs(r.taken - r.target) <= 7 and r.target <= 3 * r.own + 1e-9
+    # A third of the ids null, their texts different.
+    without = big.select(F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")).alias("doc_id"), F.concat_ws(" ", "text", "doc_id").alias("text"), "source")
+    for r in mixing.mix(without).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 8
     assert mixing.mix(docs).count() == docs.count()
     assert mixing.mix(empty).count() == 0
 
