@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -304,3 +305,33 @@ def test_stream(spark, tmp_path):
     assert sorted(r.k for r in spark.table("followed").collect()) == [14, 16, 18]
     with pytest.raises(BinderError):
         follow(stream, "t", "SELECT id FROM t LIMIT 1")
+
+
+def test_approximate_search(spark, tmp_path):
+    """Recall against exact distances, the fallback where lists hold too few rows, NULL vectors and an empty table."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from lumenq.operators import ann
+
+    rng = np.random.default_rng(1)
+    points = rng.normal(size=(20, 8))[rng.integers(0, 20, 3000)] * 4 + rng.normal(size=(3000, 8))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)] + [(3000, None), (3001, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "id long, e array<double>").withColumn("v", F.lit("x"))
+    for metric in ("l2", "cosine"):
+        index = ann.build(df.withColumnRenamed("v", "w"), "e", f"file://{tmp_path}/{metric}", metric, ["id"], lists=16)
+        assert spark.read.parquet(index.path).count() == len(rows)
+        hits = 0
+        for q in points[:8] + 0.1:
+            d = np.linalg.norm(points - q, axis=1) if metric == "l2" else 1 - points @ q / np.linalg.norm(points, axis=1) / np.linalg.norm(q)
+            got = index.search(q.tolist(), 10, probes=4)
+            assert re.search(r"PartitionFilters: \[.*_list#\d+ IN", got._jdf.queryExecution().toString())
+            hits += len({r.id for r in got.collect()} & set(np.argsort(d)[:10].tolist()))
+        assert hits >= 0.9 * 80
+    few = index.search(points[0].tolist(), 3, probes=1, where=F.col("id").isin(5, 3000, 2999))
+    assert {r.id for r in few.collect()} == {5, 2999, 3000} and few.collect()[-1].id == 3000
+    with pytest.raises(BinderError, match="dimensions"):
+        index.search([1.0], 1)
+    with pytest.raises(BinderError, match="inner_product"):
+        ann.build(df, "e", f"file://{tmp_path}/no", "inner_product")
+    assert ann.build(df.limit(0), "e", f"file://{tmp_path}/empty", key=["id"]).search([0.0] * 8, 3).count() == 0
