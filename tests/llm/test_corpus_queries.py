@@ -50,6 +50,22 @@ def test_other_similarities(spark):
     assert near_dedup.fewest(64, 75) < near_dedup.fewest(64, 90) <= near_dedup.fewest(64, 100) == 64
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 8])
+def test_rounds_of_heads_change_no_component(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    monkeypatch.setattr(near_dedup, "EASY", -1)
+    monkeypatch.setattr(near_dedup, "STAR", 1)
+    rng = random.Random(12)
+    rows, base = [], [f"w{rng.randrange(10000)}" for _ in range(80)]
+    for i in range(150):  # each near the base or near an earlier copy, some just below the similarity asked for
+        w = list(base if i % 3 else rows[-1][1].split() if rows else base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(80)] = f"x{rng.randrange(10000)}"
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
 @pytest.fixture(scope="module")
 def corpus_dir(spark, tmp_path_factory):
     """Documents good and bad, copies, leaks, null and empty texts, null ids, repeated rows and columns with operators' own names."""
