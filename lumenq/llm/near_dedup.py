@@ -19,10 +19,10 @@
    Lists of one component are skipped again; in the others a pair is made unless places in
    the prefix, sizes or ``BITS`` parity bits (sets differ in at least as many shingles as
    bits) rule it out.
-   Signatures and sets follow as in step 3.  While those lists could make many pairs, rounds
-   as in step 3 come first: a list's head is drawn anew by hash in each, and only nodes of
-   other components than the head's are paired with it, so that a large group of near copies
-   comes together in a few rounds whose pairs grow with the group, not with its square.
+   Signatures and sets follow as in step 3.  One round as in step 3 comes first: a list's
+   head is drawn anew by hash and only nodes of other components are paired with it, so that
+   most of a large group of near copies comes together by pairs that grow with the group, not
+   with its square.
 5. Every link is confirmed on the full sets: 100 * intersection >= percent * union.
 
 ``least`` and the signatures' match threshold come from ``percent``: a pair at just that
@@ -52,8 +52,6 @@ COORDS, POSTED = 128, 64
 STAR = 4
 BITS = 2048
 LOSS = 1e-8
-ROUNDS = 8  # at most, of heads drawn anew; what they leave apart is compared in any case
-EASY = 4  # pairs for each open posting that are compared without a round before them
 ROWS = 256  # rows that a Python worker holds in its own form at a time
 _RNG = np.random.default_rng(977)
 _MUL = (_RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -226,30 +224,19 @@ def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return few.select("p", "node", "n", (F.col("alone") + F.col("at") + 1).alias("at"), (F.col("alone") + F.col("at") < F.col("inner")).alias("inner"))
 
 
-def _across(rows: DataFrame) -> int:
-    """How many pairs of different components the lists hold."""
-    each = rows.groupBy("p", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("p").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"))
-    return int(each.agg(F.coalesce(F.sum(F.col("all") * F.col("all") - F.col("own")) / 2, F.lit(0.0))).first()[0])
-
-
-def _redrawn(rows: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of each node and heads of its lists in other components; every turn has another order of nodes to draw heads by."""
-    heads = rows.groupBy("p").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("order"), F.col("node").alias("h"), F.col("comp").alias("of"))).alias("head"))
+def _redrawn(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of each node and heads of its lists in other components, the heads drawn by one hash of the nodes."""
+    heads = rows.groupBy("p").agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("h"), F.col("comp").alias("of"))).alias("head"))
     met = rows.join(scratch.save(heads.select("p", "head.h", "head.of"), "heads"), "p").filter("comp <> of").select("node", "h")
     return _most_met(met)
 
 
 def _gather(rows: DataFrame, labels: DataFrame, info: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The open rows and components after rounds of heads drawn anew, until few pairs are left or a round finds no link."""
-    for turn in range(ROUNDS):
-        if _across(rows) <= EASY * rows.count():
-            break
-        found = _links(_redrawn(rows, turn, scratch), info, sets, scratch, percent)
-        if found.isEmpty():
-            break
-        labels, old = _merge(labels, found, scratch), rows
-        rows = _open(old.drop("comp"), labels, scratch)
-        scratch.drop(old, found)
+    """The open rows and components after a round of redrawn heads."""
+    found = _links(_redrawn(rows, scratch), info, sets, scratch, percent)
+    labels, old = _merge(labels, found, scratch), rows
+    rows = _open(old.drop("comp"), labels, scratch)
+    scratch.drop(old, found)
     return rows, labels
 
 
