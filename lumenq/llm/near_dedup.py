@@ -20,9 +20,10 @@
    the prefix, sizes or ``BITS`` parity bits (sets differ in at least as many shingles as
    bits) rule it out.
    Signatures and sets follow as in step 3.  One round as in step 3 comes first: a list's
-   head is drawn anew by hash and only nodes of other components are paired with it, so that
-   most of a large group of near copies comes together by pairs that grow with the group, not
-   with its square.
+   head is its member with the least share of shingles of its own and only nodes of other
+   components are paired with it.  That member is the nearest to the common origin of a group
+   of near copies, and so to copies that are far from each other: the group comes together by
+   pairs that grow with its size, not with its square.
 5. Every link is confirmed on the full sets: 100 * intersection >= percent * union.
 
 ``least`` and the signatures' match threshold come from ``percent``: a pair at just that
@@ -207,12 +208,12 @@ def _open(lists: DataFrame, comp: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """p, node, n, at, inner: the rarest shingles of the nodes in ``rows``, by their place in the order of rarity.
+    """p, node, n, alone, at, inner: the rarest shingles of the nodes in ``rows``, by their place in the order of rarity.
 
     Of a similar pair the larger set shares percent of its n shingles, so it has a shared one
     among its n - percent of n + 1 rarest; the smaller set shares 2 percent / (1 + percent) of
     its own, which leaves fewer still, the inner ones.  Shingles that one node alone has come
-    first and post nothing.
+    first and post nothing; alone is their number.
     """
     nodes = rows.select("node").distinct()
     each = sets.join(nodes, "node").select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
@@ -221,19 +222,20 @@ def _rare(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = lambda part, of: F.col("n") - F.ceil(F.col("n") * part / of).cast("int") + 1
     few = shared.withColumns({"alone": F.col("n") - F.size("all"), "outer": prefix(percent, 100), "inner": prefix(2 * percent, 100 + percent)})
     few = few.filter("outer > alone").select("node", "n", "alone", "inner", F.posexplode(F.slice("all", F.lit(1), F.col("outer") - F.col("alone"))["s"]).alias("at", "p"))
-    return few.select("p", "node", "n", (F.col("alone") + F.col("at") + 1).alias("at"), (F.col("alone") + F.col("at") < F.col("inner")).alias("inner"))
+    return few.select("p", "node", "n", "alone", (F.col("alone") + F.col("at") + 1).alias("at"), (F.col("alone") + F.col("at") < F.col("inner")).alias("inner"))
 
 
-def _redrawn(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of each node and heads of its lists in other components, the heads drawn by one hash of the nodes."""
-    heads = rows.groupBy("p").agg(F.min(F.struct(F.xxhash64("node").alias("order"), F.col("node").alias("h"), F.col("comp").alias("of"))).alias("head"))
+def _central(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of each node and heads of its lists in other components, the heads with the least share of shingles alone."""
+    order = [(F.col("alone") / F.col("n")).alias("share"), F.xxhash64("node").alias("order"), F.col("node").alias("h"), F.col("comp").alias("of")]
+    heads = rows.groupBy("p").agg(F.min(F.struct(*order)).alias("head"))
     met = rows.join(scratch.save(heads.select("p", "head.h", "head.of"), "heads"), "p").filter("comp <> of").select("node", "h")
     return _most_met(met)
 
 
 def _gather(rows: DataFrame, labels: DataFrame, info: DataFrame, sets: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The open rows and components after a round of redrawn heads."""
-    found = _links(_redrawn(rows, scratch), info, sets, scratch, percent)
+    """The open rows and components after a round of central heads."""
+    found = _links(_central(rows, scratch), info, sets, scratch, percent)
     labels, old = _merge(labels, found, scratch), rows
     rows = _open(old.drop("comp"), labels, scratch)
     scratch.drop(old, found)

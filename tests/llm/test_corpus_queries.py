@@ -63,6 +63,28 @@ def test_few_heads_change_no_component(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
 
 
+def test_a_group_around_one_text_leaves_few_open_pairs(spark, monkeypatch):
+    """Copies far from each other but near their origin come together by it, before members of a list are paired with each other."""
+    left, rest = [], near_dedup._rest
+
+    def counted(*args):
+        pairs = rest(*args)
+        left.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "_rest", counted)
+    rng = random.Random(31)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(300):
+        w = list(base)
+        for _ in range(1 + i % 4):
+            w[rng.randrange(120)] = f"x{rng.randrange(100000)}"
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_dups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+    assert sum(left) <= len(rows) // 4
+
+
 @pytest.fixture(scope="module")
 def corpus_dir(spark, tmp_path_factory):
     """Documents good and bad, copies, leaks, null and empty texts, null ids, repeated rows and columns with operators' own names."""
