@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 #: Whether a query's shuffle files go as soon as it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes after which a batch of rows goes to a Python worker, and the session's setting of them.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +42,26 @@ def file_system(spark: SparkSession, path: str):
 
 
 @contextmanager
-def shuffles_end(spark: SparkSession):
-    """Shuffle files of writes in this block are deleted when the write ends: its table takes their place."""
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def _setting(spark: SparkSession, name: str, value: str):
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         if was is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(name)
         else:
-            spark.conf.set(_CLEANUP, was)
+            spark.conf.set(name, was)
+
+
+def shuffles_end(spark: SparkSession):
+    """Shuffle files of writes in this block are deleted when the write ends: its table takes their place."""
+    return _setting(spark, _CLEANUP, "true")
+
+
+def short_batches(spark: SparkSession):
+    """Python workers get batches of about ``BATCH_BYTES`` in this block, each of which lies in an executor several times over."""
+    return _setting(spark, _BATCH, str(BATCH_BYTES))
 
 
 class Scratch:

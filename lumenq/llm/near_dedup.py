@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenq.llm._store import Scratch, small
+from lumenq.llm._store import Scratch, short_batches, small
 from lumenq.llm._text import mix, shingle_set
 
 WIDTH, PERCENT = 5, 75
@@ -290,7 +290,8 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = docs.mapInArrow(_sign, "doc_id long, n long, c1 long, c2 long, posts array<long>, sig array<long>, odd array<long>")
     # Rows are numbered as they are written, so the numbers stay.
-    signed = scratch.save(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    with short_batches(df.sparkSession):
+        signed = scratch.save(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     known = signed.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = scratch.save(known.groupBy("c1", "c2").agg(F.min("row").alias("node"), F.min("doc_id").alias("rep")), "classes")
     members = scratch.save(known.select("doc_id", "n", "row", "c1", "c2").join(classes, ["c1", "c2"]).select("doc_id", "n", "row", "node", "rep"), "members")
@@ -310,7 +311,8 @@ def near_dups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent
         reps = scratch.save(classes.join(small(ids, n_kept), "node", "left_semi").select(F.col("rep").alias("doc_id")), "reps").distinct()
         chosen = docs.join(small(reps, n_kept), "doc_id", "left_semi").select("text")
         sets = chosen.mapInArrow(_sets, "c1 long, c2 long, set array<long>").groupBy("c1", "c2").agg(F.first("set").alias("set"))
-        sets = scratch.save(sets.join(info.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "set"), "sets")
+        with short_batches(df.sparkSession):
+            sets = scratch.save(sets.join(info.select("node", "c1", "c2"), ["c1", "c2"]).select("node", "set"), "sets")
         lists = info.select("node", F.explode("ps").alias("p"))
         linked = components(_links(_star(lists, scratch), info, sets, scratch, percent), scratch)
         labels = scratch.save(ids.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")

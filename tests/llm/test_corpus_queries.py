@@ -85,6 +85,27 @@ def test_a_group_around_one_text_leaves_few_open_pairs(spark, monkeypatch):
     assert sum(left) <= len(rows) // 4
 
 
+def test_workers_of_near_dedup_get_short_batches(spark, monkeypatch):
+    """Batches are bounded by bytes, so that an executor's memory doesn't follow the texts' length."""
+    plain = {name: getattr(near_dedup, name) for name in ("_sign", "_sets")}
+
+    def bounded(name):
+        def run(batches):
+            for batch in batches:
+                assert batch.nbytes < 8 << 20, (name, batch.nbytes)
+                yield from plain[name](iter([batch]))
+
+        return run
+
+    for name in plain:
+        monkeypatch.setattr(near_dedup, name, bounded(name))
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(0, 1200, 1, 1).selectExpr("id AS doc_id", "concat('word', id div 2, repeat(' of a text', 3000), ' end', id) AS text")
+    got = near_dedup.near_dups(rows).select("doc_id", "n_shingles").collect()
+    assert len(got) == 1200 and all(r.n_shingles == 5 for r in got)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == was
+
+
 @pytest.fixture(scope="module")
 def corpus_dir(spark, tmp_path_factory):
     """Documents good and bad, copies, leaks, null and empty texts, null ids, repeated rows and columns with operators' own names."""
