@@ -22,6 +22,7 @@ first; rows with equal doc_id follow one another by their ids' checksum.
 from __future__ import annotations
 
 import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -41,7 +42,7 @@ END_ID = 2
 MAGIC = b"LQT1"
 #: Letters for which lower-casing and composing are plain, by character.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKS = ".,;:!?"
+_MARKS = string.punctuation
 
 
 def _byte_letters() -> dict[int, str]:
@@ -89,12 +90,14 @@ class Encoder(dict):
     def agrees(self) -> bool:
         """Whether the tokenizer splits, lowers and joins as the shortcut supposes, on every kind of chunk that it takes."""
         probe = ["The", "naive", "Straße", "ÀÉÎ", "garçon,", "end.", "why?!", "a;b", "x:", "É", "zzzzqj", "Hello", "ÿþ"]
+        probe += [f"end{m}" for m in _MARKS] + [f"Été{m}{m}{m}" for m in _MARKS] + ["dogs'", "they're", "it's.", "etc.,***", f"z{_MARKS}"]
+        probe += [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         text = " ".join(probe) + "\n" + "  ".join(reversed(probe)) + "\t"
         return np.frombuffer(self.encode(text.encode()), "<u4").tolist() == self.tokenizer.encode(text, add_special_tokens=False).ids
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None) -> bytes:
         return b"".join(map(self.__getitem__, (text or b"").split()))

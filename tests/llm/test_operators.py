@@ -359,6 +359,27 @@ def test_tokens_round_trip(docs, empty, spark, tmp_path):
     assert token_output.read_tokens(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_letters_before_any_marks_pass_by_the_tokenizer():
+    P = pytest.importorskip("public_tokenizers")
+    encoder = token_output.Encoder(str(P.path("word_bpe_49k.json")))
+    tokenizer, asked = encoder.tokenizer, []
+
+    class Spy:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return tokenizer.encode(text, **kw)
+
+    assert encoder.agrees()
+    encoder.clear()
+    encoder.tokenizer = Spy()
+    rng = random.Random(5)
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    chunks = [rng.choice(["word", "The", "été", "STRASSE", "don", "it's"]) + "".join(rng.choice(marks) for _ in range(rng.randrange(5))) for _ in range(3000)]
+    text = " ".join(chunks + ["'s", "'", "they'll'd", "x<|endoftext|>", "<|startoftext|>y", "é́*"])
+    assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert not [x for x in asked if x.rstrip(marks).isalpha()]
+
+
 def test_segment_planes():
     bodies = [np.arange(k, 3 * k, dtype="<u4").tobytes() for k in (1, 70000, 0, 5)]
     docs, lengths, ids = token_output.unpack_segment(token_output.pack_segment([3, None, 5, 6], bodies))
