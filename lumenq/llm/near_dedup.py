@@ -22,8 +22,9 @@
    Signatures and sets follow as in step 3.  One round as in step 3 comes first: a list's
    head is its member with the least share of shingles of its own and only nodes of other
    components are paired with it.  That member is the nearest to the common origin of a group
-   of near copies, and so to copies that are far from each other: the group comes together by
-   pairs that grow with its size, not with its square.
+   of near copies, and so to copies that are far from each other: what links to it comes
+   together by pairs that grow with the group's size.  Pairs just below ``percent`` stay open
+   and still grow with the square.
 5. Every link is confirmed on the full sets: 100 * intersection >= percent * union.
 
 ``least`` and the signatures' match threshold come from ``percent``: a pair at just that
